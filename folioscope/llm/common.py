@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that a task turns into Python objects at once.
+SLICE = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +57,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def run(batches):
         fn = make()
         for batch in batches:
-            out = fn(batch)
-            for cols in out if isinstance(out, list) else [out]:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+            # Python's objects take many times the room of Arrow's: a few MB at a time.
+            step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            for k in range(0, batch.num_rows, step):
+                out = fn(batch.slice(k, step))
+                for cols in out if isinstance(out, list) else [out]:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
