@@ -172,19 +172,21 @@ def _cache(path: str) -> WordCache:
     return WordCache(lambda words: [np.array(v.encode(w), "<u4").tobytes() for w in words])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids): the token ids of every whole text."""
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, ids, n_tokens): the token ids of every whole text."""
+    kept = (key, *(c for c in carry if c in docs.columns))
 
     def make():
         cache = _cache(path)
 
         def of(batch):
-            raw = cache([t or "" for t in batch[text].to_pylist()])
-            return {key: batch[key], "ids": [np.frombuffer(r, "<i4") for r in raw]}
+            ids = [np.frombuffer(r, "<i4") for r in cache([t or "" for t in batch[text].to_pylist()])]
+            return {c: batch[c] for c in kept} | {"ids": ids, "n_tokens": [len(i) for i in ids]}
 
         return of
 
-    return map_batches(docs.select(key, text), make, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return map_batches(docs.select(*kept, text), make, f"{columns}, ids array<int>, n_tokens long")
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
