@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as fn
+from .functions import links, stemming
 from .operators import changes, graph, logs, rawsweep, search, tags
+from .plans import ingest
+from .sources import files
 from .sources.views import edges, page_ref, pages, pages_sql, sql_ref, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,3 +473,98 @@ def delta_equals_rebuild(spark, sf_dir):
     changed = changes.classified(b, a, key="doc_id")
     delta = changed.join(a, "doc_id", "left").select("doc_id", "text", (F.col("change") == "removed").alias("deleted"))
     return changes.apply_delta(b, delta, key="doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+# ---- markdown: pages are written out as text and read back
+
+
+def _markdown(view: DataFrame) -> DataFrame:
+    """(page_ref, text): the page view as markdown with frontmatter and a link in the body."""
+    folder = F.regexp_extract("page_ref", "^(.*)/[^/]*$", 1)
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    lines = F.concat_ws(
+        "\n",
+        F.lit("---"),
+        F.concat(F.lit("title: "), quoted("title")),
+        F.concat(F.lit("tags: "), F.to_json("tags")),
+        F.when(F.col("source_date") != "", F.concat(F.lit("source_date: "), "source_date")),
+        F.concat(F.lit("volatility: "), "volatility"),
+        F.when(F.col("supersedes").isNotNull(), F.concat(F.lit('supersedes:\n  - "'), fn.compose_link(F.lit("old"), "supersedes", folder), F.lit('"'))),
+        F.lit("---"),
+        F.concat(F.lit("See "), fn.compose_link(F.lit("next"), page_ref(F.col("doc_id") + 1), folder), F.lit(".")),
+    )
+    return view.select("doc_id", "page_ref", lines.alias("text"))
+
+
+@query(f"WITH {PAGES} SELECT page_ref, kind, title, array_to_string(tags, ',') AS tags, source_date, volatility FROM pages")
+def page_records(spark, sf_dir):
+    """P-01 to P-03: records parsed from markdown."""
+    parsed = files.records(_markdown(pages(spark, sf_dir)).drop("doc_id"))
+    return parsed.select("page_ref", "kind", "title", F.array_join("tags", ",").alias("tags"), "source_date", "volatility")
+
+
+@query(f"WITH {PAGES} SELECT src, key, dst FROM edges WHERE key = 'supersedes'")
+def record_edges(spark, sf_dir):
+    """P-04, P-05, P-07, P-08: typed edges from links in the frontmatter."""
+    return files.record_edges(files.records(_markdown(pages(spark, sf_dir)).drop("doc_id"))).select("src", "key", "dst")
+
+
+@query(f"WITH {PAGES} SELECT page_ref, {sql_ref('doc_id + 1')} AS target, CAST(5 + (source_date <> '')::INT + 2 * (supersedes IS NOT NULL)::INT AS INTEGER) AS line FROM pages")
+def link_scan(spark, sf_dir):
+    """P-05, P-08, S-19: the links of bodies, resolved, with their lines."""
+    scanned = _markdown(pages(spark, sf_dir)).select("page_ref", F.explode(links.links_of("text")).alias("l"))
+    folder = F.regexp_extract("page_ref", "^(.*)/[^/]*$", 1)
+    last = F.max_by(F.struct(fn.resolve_path(F.col("l.path"), folder).alias("target"), F.col("l.line").alias("line")), "l.start")
+    return scanned.groupBy("page_ref").agg(last.alias("x")).select("page_ref", "x.target", F.col("x.line").cast("int").alias("line"))
+
+
+@query(f"WITH {PAGES}, m AS (SELECT min(page_ref) AS old FROM pages WHERE doc_id % 4 = 1) SELECT CASE WHEN page_ref = old THEN 'wiki/moved/new (1).md' ELSE page_ref END AS page_ref, CASE WHEN {sql_ref('doc_id + 1')} = old THEN 'See [next](../moved/new%20%281%29.md).' ELSE 'See [next](../' || substr({sql_ref('doc_id + 1')}, 6) || ').' END AS body FROM pages, m")
+def move_retarget(spark, sf_dir):
+    """G-11, G-12: a page moves, and links at it follow."""
+    md = _markdown(pages(spark, sf_dir))
+    old = md.where("doc_id % 4 = 1").agg(F.min("page_ref")).first()[0]
+    moved = links.move(md.select("page_ref", "text"), old, "wiki/moved/new (1).md")
+    return moved.select("page_ref", fn.body("text").alias("body"))
+
+
+@query()
+def search_stemmed(spark, sf_dir):
+    """S-11, B-02: the stemmed analyzer, with snippets of the hits."""
+    view = pages(spark, sf_dir)
+    index = search.build_index(view, stemming.stemmed_tokens)
+    hits = search.search(view, index, search.Query(text="things thing", match="any"))
+    met = hits.select("page_ref", "score").join(view.select("page_ref", "body"), "page_ref")
+    return stemming.with_snippets(met, ["things"]).select("page_ref", "score", "snippet")
+
+
+PLAN_ROWS = """SELECT doc_id AS plan_id, CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'create' ELSE 'drop' END AS op, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'T ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN doc_id % 6 < 3 THEN 'concept' WHEN doc_id % 6 = 3 THEN 'thing' ELSE '' END AS kind, CASE WHEN doc_id % 7 = 0 THEN '2024-02-30' ELSE '2024-02-03T10:00' END AS source_date FROM documents"""
+
+
+@query(f"""WITH p AS ({PLAN_ROWS}),
+e AS (SELECT plan_id, CASE WHEN op = 'drop' THEN ['pages[0].op must be ''create'' or ''update'''] ELSE list_filter([
+  CASE WHEN op = 'create' AND kind = 'thing' THEN 'pages[0].kind is not a valid kind' END,
+  CASE WHEN op = 'create' AND kind = '' THEN 'pages[0].kind is required for op=create' END,
+  CASE WHEN op = 'update' AND kind <> '' THEN 'pages[0].kind must not be set for op=update' END,
+  CASE WHEN op = 'update' THEN 'pages[0].page_ref is required for op=update' END,
+  CASE WHEN title = '' THEN 'pages[0].title is required' END,
+  CASE WHEN source_date = '2024-02-30' THEN 'pages[0].frontmatter.source_date must be a valid date' END], lambda x: x IS NOT NULL) END AS errors FROM p)
+SELECT plan_id, array_to_string(list_sort(errors), '; ') AS errors FROM e WHERE len(errors) > 0""")
+def plan_errors(spark, sf_dir):
+    """I-04, A-10, R-15: a plan in JSON for each document, with its errors."""
+    sql = PLAN_ROWS.replace("VARCHAR", "STRING").removesuffix(" FROM documents").removeprefix("SELECT ")
+    p = table(spark, sf_dir, "documents").select(F.expr(f"named_struct({_named_struct(sql)})").alias("p")).select("p.*")
+    fields = F.map_from_arrays(F.array(F.lit("source_date")), F.array("source_date"))
+    page = F.struct("op", "title", "kind", F.lit("body").alias("body"), fields.alias("frontmatter"))
+    plans = p.select("plan_id", F.to_json(F.struct(F.lit("t").alias("title"), F.array(page).alias("pages"))).alias("value"))
+    each = ingest.planned_pages(ingest.decode(plans)).select("plan_id", F.array_sort(ingest.shape_errors()).alias("e")).where("size(e) > 0")
+    return each.select("plan_id", F.array_join("e", "; ").alias("errors"))
+
+
+def _named_struct(select: str) -> str:
+    """A select list's ``x AS n, ...`` as ``'n', x, ...``."""
+    names = ("plan_id", "op", "title", "kind", "source_date")
+    out, rest = [], select
+    for n in names:
+        x, _, rest = rest.partition(f" AS {n}")
+        out.append(f"'{n}', {x.removeprefix(', ')}")
+    return ", ".join(out)
