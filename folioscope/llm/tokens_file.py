@@ -28,10 +28,44 @@ from .words import WordCache
 SCHEMA = "shard int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, packed binary"
 
 
+class Encoder:
+    """Encodes pieces as the tokenizer does, many in one call, into little-endian bytes."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Ids of two bytes where they all fit.
+        self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # A byte-level token has a character for each of its bytes.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
+        self.cache = WordCache(self.pieces)
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Pieces begin with a space or stand alone, so the tokens of several joined are
+        those of each; the bytes that tokens stand for tell them apart again."""
+        spaced = [k for k, w in enumerate(words) if w[:1] == " " and w[-1] > " "]
+        out: list[bytes] = [b""] * len(words)
+        if spaced:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words[k] for k in spaced)], add_special_tokens=False)[0].ids, self.type)
+            ends = np.cumsum(self.lengths[ids])
+            upto = np.cumsum([len(words[k].encode()) for k in spaced])
+            last = np.searchsorted(ends, upto)
+            if ends[-1] == upto[-1] and (ends[last] == upto).all():
+                raw, size = ids.tobytes(), self.type.itemsize
+                bounds = [0, *((last + 1) * size).tolist()]
+                for k, a, b in zip(spaced, bounds, bounds[1:], strict=False):
+                    out[k] = raw[a:b]
+            else:  # no byte-level tokenizer
+                spaced = []
+        left = sorted(set(range(len(words))).difference(spaced))
+        for k, e in zip(left, self.tokenizer.encode_batch_fast([words[k] for k in left], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, self.type).tobytes()
+        return out
+
+
 @lru_cache(maxsize=2)
-def _ids(path: str) -> WordCache:
-    t = _tokenizer(path)
-    return WordCache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shards: int | None = None, segment: int = 1 << 18, text: str = "text", key: str = "doc_id") -> None:
@@ -42,10 +76,11 @@ def write(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shards: int |
     # Of the ids alone, so the texts are read and encoded once.
     bounds = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(bounds)) if shards > 1 else []
-    last = np.array([end], "<u4").tobytes()
+    kind = Encoder(tokenizer).type.str
+    last = np.array([end], kind).tobytes()
 
     def encoded():
-        cache = _ids(tokenizer)
+        cache = _encoder(tokenizer).cache
         edges = np.array(bounds, np.int64)
 
         def of(batch):
@@ -56,17 +91,19 @@ def write(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shards: int |
         return of
 
     dealt = map_batches(rows, encoded, "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "shard")
-    dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(_segments(segment), SCHEMA).write.option("compression", "none").parquet(to)
+    dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(_segments(segment, kind), SCHEMA).write.option("compression", "none").parquet(to)
+
 
+def _segments(size: int, kind: str):
+    width = np.dtype(kind).itemsize
 
-def _segments(size: int):
     def run(batches):
         held: list[tuple[int | None, bytes]] = []
         tokens, shard, number = 0, None, 0
 
         def closed():
-            buffer = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            cols = {"shard": [shard], "segment": [number], "n_tokens": [len(buffer)], "doc_ids": [[i for i, _ in held]], "lengths": [[len(x) // 4 for _, x in held]], "packed": [pfor.pack(buffer)]}
+            buffer = np.frombuffer(b"".join(x for _, x in held), kind)
+            cols = {"shard": [shard], "segment": [number], "n_tokens": [len(buffer)], "doc_ids": [[i for i, _ in held]], "lengths": [[len(x) // width for _, x in held]], "packed": [pfor.pack(buffer)]}
             types = {"shard": pa.int32(), "segment": pa.int32(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "packed": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(cols[c], type=t) for c, t in types.items()], names=list(types))
 
@@ -78,7 +115,7 @@ def _segments(size: int):
                     held, tokens = [], 0
                 shard = s
                 held.append((i, ids))
-                tokens += len(ids) // 4
+                tokens += len(ids) // width
         if held:
             yield closed()
 

@@ -21,7 +21,7 @@ _EDGE = re.compile(rf"^[{_SPACE}]|[{_SPACE}]$|^$")
 class WordCache:
     """Encodes pieces once and keeps what came out, up to ``limit`` of them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.inner: dict[str, bytes | None] = {}  # by the piece without its space; None: cut the text by the pattern
         self.whole: dict[str, bytes] = {}  # by the piece as it is
