@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +17,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folds of the labelled rows that classifiers are fitted on.
+FOLDS = 4
 #: Bytes of a batch that a task turns into Python objects at once.
 SLICE = 2_000_000
 
@@ -77,16 +81,42 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column,
 
     The rows are those with the smallest hash of the id, so the choice neither
     depends on the order nor on the number of partitions.  Only the chosen ids,
-    2 * per_class at most, are broadcast.  ``part`` splits them by another
-    hash: 0 (four in five) for dictionaries, 1 for calibration.
+    2 * per_class at most, are broadcast.  ``part`` deals them to ``FOLDS`` folds by
+    another hash: what a fold's rows are calibrated on is learnt from the others.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train).dropDuplicates(["doc_id"])
     order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
     ids = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
-    ids = ids.withColumn("part", (F.xxhash64(F.lit("part"), "doc_id") % 5 == 0).cast("int"))
+    ids = ids.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(FOLDS)).cast("int"))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+_WORDS = re.compile(WORD)
+
+
+def _sketched():
+    """Two min-hashes of a text's five-word shingles: near copies mostly share one."""
+
+    def of(batch):
+        one, two = [], []
+        for t in batch["text"].to_pylist():
+            w = _WORDS.findall(t.lower())
+            s = {" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass") for i in range(max(1, len(w) - 4))}
+            one.append(min(xxhash.xxh64_intdigest(x, 1) for x in s) >> 1)
+            two.append(min(xxhash.xxh64_intdigest(x, 2) for x in s) >> 1)
+        return {c: batch[c] for c in ("y", "part", "text")} | {"one": one, "two": two}
+
+    return of
+
+
+def distinct_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
+    """(y, part, text) of label_sample with most copies left out: a text that many rows
+    have, in several folds, would make what is learnt of it look more telling than it is."""
+    rows = cut(label_sample(docs, labels, label, train, per_class))
+    sketched = map_batches(rows.select("y", "part", "text"), _sketched, "y int, part int, text string, one long, two long")
+    return cut(sketched.dropDuplicates(["y", "one"]).dropDuplicates(["y", "two"]).select("y", "part", "text"))
+
+
 class Logistic:
     """Ridge logistic regression on a few standardised features: the calibration
     that turns differences of compressed sizes into a probability."""
@@ -95,7 +125,7 @@ class Logistic:
         x, y = np.asarray(x, float), np.asarray(y, float)
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         a = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
-        share = y.mean() if len(y) else 0.5
+        share, self.prior = (y.mean() if len(y) else 0.0), prior
         # The classes are sampled apart; weights bring them back to their shares.
         weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9)) if 0 < share < 1 else np.ones(len(y))
         self.beta = np.zeros(a.shape[1])
@@ -110,6 +140,20 @@ class Logistic:
                 if np.abs(step).max() < 1e-8:
                     break
 
+    def set_threshold(self, x: np.ndarray, y: np.ndarray, threshold: float) -> None:
+        """Shift the scores so that ``threshold`` is where precision and recall of label 1
+        are best together on these rows."""
+        if not 0 < y.sum() < len(y):
+            return
+        z = self(x)
+        share = y.mean()
+        weight = np.where(y == 1, self.prior / share, (1 - self.prior) / (1 - share))
+        order = np.argsort(-z, kind="stable")
+        hits, said = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+        best = int(np.argmax(2 * hits / (said + (weight * y).sum())))
+        at = np.clip((z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2, 1e-6, 1 - 1e-6)
+        self.beta[0] += np.log(threshold / (1 - threshold)) - np.log(at / (1 - at))
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = self.beta[0] + ((np.asarray(x, float) - self.mean) / self.scale) @ self.beta[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Logistic, cut, label_sample, map_batches
+from .common import FOLDS, Logistic, distinct_sample, map_batches
 
 
 @dataclass(frozen=True)
@@ -86,41 +86,43 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, params: Params = Para
     """Learn from at most ``per_class`` rows of each class for which ``train`` holds."""
     shares = labels.where(train).where(F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     prior = 0.5 if shares is None else float(shares)
-    rows = cut(label_sample(docs, labels, "quality", train, params.per_class))
+    rows = distinct_sample(docs, labels, "quality", train, params.per_class)
     size = params.piece
 
     def pieces():
         def of(batch):
-            y, text = [], []
-            for label, t in zip(batch["y"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            out = {"y": [], "part": [], "piece": []}
+            for y, part, t in zip(*(batch[c].to_pylist() for c in ("y", "part", "text")), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 for k in range(0, len(raw), size):
-                    y.append(label)
-                    text.append(raw[k : k + size])
-            return {"y": y, "piece": text}
+                    for c, v in zip(out, (y, part, raw[k : k + size]), strict=True):
+                        out[c].append(v)
+            return out
 
         return of
 
-    cutup = map_batches(rows.where("part = 0").select("y", "text"), pieces, "y int, piece binary")
-    learnt = {}
-    for y in (0, 1):
-        sample = cutup.where(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece").limit(params.pieces).collect()
-        learnt[y] = dictionary([bytes(r.piece) for r in sample], params.dict_bytes)
-    good, bad = learnt[1], learnt[0]
+    cutup = map_batches(rows.select("y", "part", "text"), pieces, "y int, part int, piece binary")
+    sample = {y: cutup.where(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece", "part").limit(params.pieces).collect() for y in (0, 1)}
+
+    def learnt(without: int | None) -> tuple[bytes, bytes]:
+        return tuple(dictionary([bytes(r.piece) for r in sample[y] if r.part != without], params.dict_bytes) for y in (1, 0))
+
+    # A row's differences are measured with dictionaries that other folds gave.
+    apart = [learnt(part) for part in range(FOLDS)]
     level, window = params.level, params.window
 
     def measured():
-        made = _compressors(good, bad, level)
+        made = [_compressors(*d, level) for d in apart]
 
         def of(batch):
-            f = _features(made, batch["text"].to_pylist(), window)
-            return {"y": batch["y"], "f": f.tolist()}
+            f = [_features(made[p], [t], window)[0].tolist() for p, t in zip(batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            return {"y": batch["y"], "f": f}
 
         return of
 
-    got = map_batches(rows.where("part = 1").select("y", "text"), measured, "y int, f array<double>").collect()
+    got = map_batches(rows.select("y", "part", "text"), measured, "y int, f array<double>").collect()
     x = np.array([r.f for r in got]).reshape(-1, 3)
-    return Model(good, bad, Logistic(x, np.array([r.y for r in got]), prior), params)
+    return Model(*learnt(None), Logistic(x, np.array([r.y for r in got]), prior), params)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -3,7 +3,8 @@
 Two zstandard dictionaries share a stretch of ordinary labelled text; that of the
 toxic side also holds the word beginnings that toxic labelled text has far more
 often.  Each window of a text is compressed with both; what the toxic dictionary
-saves, window by window, is turned into a calibrated score.
+saves, window by window, is turned into a calibrated score, by a logistic function
+fitted across folds.
 
 Defined results: a null or empty text has no saving and gets the score of such a
 text; a row with a null ``doc_id`` is scored and never held out; equal texts get
@@ -19,12 +20,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Logistic, cut, label_sample, map_batches
+from .common import FOLDS, WORD, Logistic, distinct_sample, map_batches
 
 _WORDS = re.compile(WORD)
 
@@ -88,21 +88,6 @@ def _beginnings(text: str, shortest: int, longest: int) -> set[str]:
     return found
 
 
-def _sketched():
-    """Two min-hashes of a text's five-word shingles: near copies mostly share one."""
-
-    def of(batch):
-        one, two = [], []
-        for t in batch["text"].to_pylist():
-            w = _WORDS.findall(t.lower())
-            s = {" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass") for i in range(max(1, len(w) - 4))}
-            one.append(min(xxhash.xxh64_intdigest(x, 1) for x in s) >> 1)
-            two.append(min(xxhash.xxh64_intdigest(x, 2) for x in s) >> 1)
-        return {"y": batch["y"], "text": batch["text"], "one": one, "two": two}
-
-    return of
-
-
 def _evidence(a: int, na: int, b: int, nb: int) -> float:
     """Log-likelihood ratio that the shares a / na and b / nb differ."""
 
@@ -132,45 +117,58 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, params: Params = Para
     """Learn from at most ``per_class`` rows of each class for which ``train`` holds."""
     share = labels.where(train).where(F.col("toxic").isin(0, 1)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = 0.5 if share is None else float(share)
-    rows = cut(label_sample(docs, labels, "toxic", train, params.per_class))
+    rows = distinct_sample(docs, labels, "toxic", train, params.per_class)
     shortest, longest = params.shortest, params.longest
 
     def counted():
         def of(batch):
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for y, t in zip(batch["y"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                seen[y].update(_beginnings(t, shortest, longest))
-            grams = list(seen[0].keys() | seen[1].keys())
-            return {"g": grams, "a": [seen[1][g] for g in grams], "b": [seen[0][g] for g in grams]}
+            seen: dict[tuple[int, int], Counter] = {(y, p): Counter() for y in (0, 1) for p in range(FOLDS)}
+            for y, p, t in zip(*(batch[c].to_pylist() for c in ("y", "part", "text")), strict=True):
+                seen[y, p].update(_beginnings(t, shortest, longest))
+            grams = list(set().union(*seen.values()))
+            return {"g": grams} | {f"n{y}{p}": [c[g] for g in grams] for (y, p), c in seen.items()}
 
         return of
 
-    learn = rows.where("part = 0").select("y", "text")
-    # Copies of one toxic text would make its own rare words look telling.
-    single = map_batches(learn, _sketched, "y int, text string, one long, two long").dropDuplicates(["y", "one"]).dropDuplicates(["y", "two"])
-    single = cut(single.select("y", "text"))
-    sizes = {r.y: r.n for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    nt, no = sizes.get(1, 0), sizes.get(0, 0)
-    counts = map_batches(single, counted, "g string, a long, b long").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.where((F.col("a") >= max(params.least, params.support * nt)) & (F.col("a") * no > F.col("b") * (4 * nt)))
-    entries = marked({r.g: (r.a, r.b) for r in counts.collect()}, nt, no, params) if nt and no else []
-    plain = learn.where("y = 0").orderBy(F.xxhash64("text"), "text").limit(params.ordinary // 64).selectExpr("substring(lower(text), 1 + pmod(xxhash64(text), greatest(1, length(text) - 64)), 64) AS t").collect()
-    base = " ".join(r.t for r in plain).encode("utf-8", "surrogatepass")[: params.ordinary]
-    # Entries go before the ordinary text: it then stands at the same distance in both.
-    toxic = "".join(reversed(entries)).encode("utf-8", "surrogatepass") + b" " + base
+    sizes = {(r.y, r.part): r.n for r in rows.groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
+    numbers = {y: np.array([sizes.get((y, p), 0) for p in range(FOLDS)]) for y in (0, 1)}
+    nt, no = int(numbers[1].sum()), int(numbers[0].sum())
+    names = [f"n{y}{p}" for y in (0, 1) for p in range(FOLDS)]
+    counts = map_batches(rows, counted, "g string, " + ", ".join(f"{n} long" for n in names)).groupBy("g").agg(*[F.sum(n).alias(n) for n in names])
+    toxic, plain = (sum(F.col(f"n{y}{p}") for p in range(FOLDS)) for y in (1, 0))
+    # Also frequent enough without any fold; a few hundred rows.
+    found = counts.where((toxic >= max(params.least, params.support * nt) * (FOLDS - 1) / FOLDS) & (toxic * no > plain * (3 * nt))).collect() if nt and no else []
+    tallies = {r.g: np.array([[r[f"n{y}{p}"] for p in range(FOLDS)] for y in (1, 0)]) for r in found}
+    at = "1 + pmod(xxhash64(text), greatest(1, length(text) - 64))"
+    some = rows.where("y = 0").selectExpr(f"substring(lower(text), {at}, 64) AS t", "xxhash64(text) AS h")
+    base = " ".join(r.t for r in some.orderBy("h", "t").limit(params.ordinary // 64).collect()).encode("utf-8", "surrogatepass")[: params.ordinary]
+
+    def learnt(without: int | None) -> bytes:
+        """The toxic dictionary. Entries go before the ordinary text: it then stands at
+        the same distance in both."""
+        use = [p != without for p in range(FOLDS)]
+        t, o = int(numbers[1][use].sum()), int(numbers[0][use].sum())
+        entries = marked({g: tuple(int(n) for n in c[:, use].sum(1)) for g, c in tallies.items()}, t, o, params) if t and o else []
+        return "".join(reversed(entries)).encode("utf-8", "surrogatepass") + b" " + base
+
+    apart = [learnt(part) for part in range(FOLDS)]
     window, step = params.window, params.step
 
     def measured():
-        t, o = _compressor(toxic).compress, _compressor(base).compress
+        made, o = [_compressor(d).compress for d in apart], _compressor(base).compress
 
         def of(batch):
-            return {"y": batch["y"], "f": _features(t, o, batch["text"].to_pylist(), window, step).tolist()}
+            f = [_features(made[p], o, [t], window, step)[0].tolist() for p, t in zip(batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            return {"y": batch["y"], "f": f}
 
         return of
 
-    got = map_batches(rows.where("part = 1").select("y", "text"), measured, "y int, f array<double>").collect()
+    got = map_batches(rows.select("y", "part", "text"), measured, "y int, f array<double>").collect()
     x = np.array([r.f for r in got]).reshape(-1, 5)
-    return Model(toxic, base, Logistic(x, np.array([r.y for r in got]), prior, ridge=1e-4), params)
+    y = np.array([r.y for r in got])
+    calibrated = Logistic(x, y, prior, ridge=1e-4)
+    calibrated.set_threshold(x, y, params.threshold)
+    return Model(learnt(None), base, calibrated, params)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
