@@ -62,9 +62,17 @@ def _scalar(value) -> str:
         return json.dumps(value)
     text = str(value)
     plain = re.fullmatch(r"[A-Za-z0-9_./][^\n]*", text) and not re.search(r": |:$| #|\s$", text)
-    if plain and isinstance(yaml.load(text, _Loader), str):  # noqa: S506
+    if plain and text.isprintable() and yaml.load(text, _Loader) == text:  # noqa: S506
         return text
-    return json.dumps(text, ensure_ascii=False)
+    return '"' + "".join(_escaped(c) for c in text) + '"'
+
+
+def _escaped(c: str) -> str:
+    if c in '"\\':
+        return "\\" + c
+    if c == " " or c.isprintable() and c not in "\ufeff":
+        return c
+    return f"\\x{ord(c):02x}" if ord(c) < 256 else f"\\u{ord(c):04x}" if ord(c) < 65536 else f"\\U{ord(c):08x}"
 
 
 def _entry(key: str, value) -> str:

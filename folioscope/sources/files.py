@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,16 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, root: str) -> DataFrame:
-    """R-17, F-10: (folder, pattern) of the policy files below ``raw``."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", ".ingestignore").text(f"{root}/raw", wholetext=True)
-    each = lines.select(F.regexp_extract(_below(root, F.col("_metadata.file_path")), r"^(.*)/[^/]*$", 1).alias("folder"), F.explode(F.split("value", "\r?\n")).alias("line"))
+    """R-17, F-10: (folder, pattern) of the policy files below ``raw``.
+
+    Spark's file sources leave out names that start with a dot, so these few small
+    files are read where the plan is made."""
+    found = []
+    for folder, _, names in os.walk(os.path.join(root, "raw")):
+        if ".ingestignore" in names:
+            with open(os.path.join(folder, ".ingestignore"), encoding="utf-8") as f:
+                found += [(os.path.relpath(folder, root).replace(os.sep, "/"), line) for line in f.read().splitlines()]
+    each = spark.createDataFrame(found, "folder string, line string")
     return each.select("folder", ignore_pattern("line").alias("pattern")).where("pattern IS NOT NULL")
 
 
