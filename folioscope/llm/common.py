@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 #: Folds of the labelled rows that classifiers are fitted on.
 FOLDS = 4
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a side may have to be sent to every executor; beyond, both sides are shuffled.
+SMALL = 50_000
 #: Bytes of a batch that a task turns into Python objects at once.
 SLICE = 2_000_000
 
@@ -56,6 +59,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     a batch into a dict of columns (or a list of such dicts, one per output batch)."""
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
+    # Spark's own default is 64 MB for each batch; a user's other setting stays.
+    if df.sparkSession.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        df.sparkSession.conf.set(_BATCH, "8m")
     arrow = to_arrow_schema(struct)
 
     def run(batches):

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import SMALL, cut, map_batches
 
 REACH = 200
 #: The strong kinds in the order of the result, their patterns and least lengths.
@@ -126,7 +126,11 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int
     overlap are replaced as one, by the kind of the first."""
     scanned = cut(scan(docs, text, key).where("size(base) > 0 OR size(parts) > 1"))
     extra = linked(scanned, reach)
-    spans = scanned.join(extra, ["k1", "k2"], "left").select("k1", "k2", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))).alias("__spans")).where("size(__spans) > 0").dropDuplicates(["k1", "k2"])
+    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
+    found = scanned.join(extra, ["k1", "k2"], "left").select("k1", "k2", spans.alias("__spans")).where("size(__spans) > 0")
+    found = cut(found.dropDuplicates(["k1", "k2"]))
+    # Few rows are sent to the texts; many meet them in a shuffle.
+    spans = F.broadcast(found) if found.count() <= SMALL else found
     k1, k2 = _named(docs, text, key)
     named = docs.withColumns({"__k1": k1, "__k2": k2})
     met = named.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("__k1", "__k2", "k1", "k2")
