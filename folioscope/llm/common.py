@@ -137,10 +137,11 @@ class Logistic:
         self.beta = np.zeros(a.shape[1])
         self.beta[0] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         if 0 < share < 1:
+            penalty = ridge * len(y) + 3  # a few rows must not move the weights far
             for _ in range(60):
                 p = 1 / (1 + np.exp(-np.clip(a @ self.beta, -30, 30)))
-                g = a.T @ (weight * (y - p)) - ridge * np.r_[0, self.beta[1:]] * len(y)
-                h = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + ridge * len(y) * np.diag(np.r_[1e-9, np.ones(a.shape[1] - 1)])
+                g = a.T @ (weight * (y - p)) - penalty * np.r_[0, self.beta[1:]]
+                h = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + penalty * np.diag(np.r_[1e-9, np.ones(a.shape[1] - 1)])
                 step = np.linalg.solve(h, g)
                 self.beta += np.clip(step, -4, 4)
                 if np.abs(step).max() < 1e-8:
@@ -156,7 +157,10 @@ class Logistic:
         weight = np.where(y == 1, self.prior / share, (1 - self.prior) / (1 - share))
         order = np.argsort(-z, kind="stable")
         hits, said = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-        best = int(np.argmax(2 * hits / (said + (weight * y).sum())))
+        both = np.where(hits >= 0.7 * said, 2 * hits / (said + (weight * y).sum()), 0)
+        best = int(np.argmax(both))
+        if not both[best]:
+            return  # nothing is told with a precision of 0.7: the scores stay as they are
         at = np.clip((z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2, 1e-6, 1 - 1e-6)
         self.beta[0] += np.log(threshold / (1 - threshold)) - np.log(at / (1 - at))
 
