@@ -19,7 +19,8 @@ WORDS = r"[\p{L}\p{N}]+"
 
 def tokens(text: Column | str) -> Column:
     """Runs of letters and numbers, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit("")) if isinstance(text, Column) else F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS), F.lit(0))
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
 def discovery_terms(*texts: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ignore_pattern, is_page_ref
@@ -12,7 +12,7 @@ from ..functions.yamlcore import frontmatter_json
 from ..operators.rawsweep import SKIPPED
 
 
-def _below(root: str, path) -> F.col:
+def _below(root: str, path: Column) -> Column:
     """A file's path below the root."""
     return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), rf"^.*?\Q{root.rstrip('/').split('://')[-1].lstrip('/')}\E/", "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import FOLDERS
@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_ref(doc_id) -> F.col:
+def page_ref(doc_id: Column) -> Column:
     folder = F.element_at(F.array(*[F.lit(f) for f in FOLDERS.values()]), (doc_id % 4 + 1).cast("int"))
     return F.concat(F.lit("wiki/"), folder, F.lit("/"), F.lpad(doc_id.cast("string"), 8, "0"), F.lit(".md"))
 
