@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import SMALL, WORD, cut
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -72,6 +72,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     ends = ends.where("upto > further").groupBy("source").agg(F.min(F.struct("__bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
     ends = ends.select(F.col("source").alias("s"), F.col("end.__bucket").alias("__last"), F.col("end.before").alias("__before"))
     plan = cut(shared.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "__source"))
+    # A row a source: few are sent to the documents; many meet them in a shuffle.
+    plan = F.broadcast(plan) if plan.count() <= SMALL else plan
     met = rows.join(plan, F.col(source).eqNullSafe(F.col("__source")))
     ranked = Window.partitionBy("__source").orderBy("__order", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
     last = met.where(F.col("__bucket") == F.col("__last"))
