@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame; each is written a
 Parquet and read again as the next one's documents.
 
 1. quality: documents that the compression classifier rejects go.
-2. near_copies: of each SimHash group the document with the smallest id stays.
+2. near_copies: of each group the document with the smallest id stays; documents link
+   by SimHash, or by a Jaccard similarity of 0.8 or more on five-word shingles.
 3. secrets: strong spans and completed weak ones are replaced in the texts.
 4. mixing: sources are brought to their target weights by repetitions.
 5. tokens: texts become token ids.
@@ -29,7 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, alike=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,11 +200,17 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def near_copies(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, th, fp, component_id) of every row."""
-    prints = cut(fingerprints(docs, shingle, text, key))
+def near_copies(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", alike: bool = False) -> DataFrame:
+    """(doc_id, th, fp, component_id) of every row; with ``alike`` texts that share
+    most five-word shingles link too, as in ``resemblance``."""
+    from . import resemblance  # which imports this module
+
+    prints = cut(resemblance.sketches(docs, shingle, text, key) if alike else fingerprints(docs, shingle, text, key))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes))
+    near = links(classes)
+    if alike:
+        near = near.union(resemblance.links(docs, prints, text, key))
+    found = components(near)
     # Fingerprints without a link are components of their own.
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -212,10 +218,10 @@ def near_copies(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
     return prints.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", alike: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id (a row
     without id only where none has one); of several such rows one."""
-    found = near_copies(docs, shingle, text, key)
+    found = near_copies(docs, shingle, text, key, alike)
     each = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     stay = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n")).alias("s")).select("s.doc_id", "s.th", "s.n")
     stay = cut(stay.withColumnsRenamed({"doc_id": "__id", "th": "__th", "n": "__n"}))

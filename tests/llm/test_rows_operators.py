@@ -153,6 +153,44 @@ def test_near_copies_are_brute_force(spark):
     assert simhash.near_copies(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
+def five(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(texts):
+    """The pairs (i, j) with a Jaccard similarity of 0.8 or more, i < j."""
+    sets = [five(t) for t in texts]
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
+
+
+def test_pipeline_drops_alike_texts(spark):
+    """Texts that share 80 % of five-word shingles go, though their fingerprints are far apart."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for changed in (1, 3, 5, 6, 9, 14):  # words of 200
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            near = list(base)
+            for k in rng.sample(range(200), changed):
+                near[k] = word()
+            texts.append(" ".join(near))
+    root = list(range(len(texts)))
+    prints = [plain_print(t) for t in texts]
+    pairs = alike(texts)
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in pairs) > 10
+    for i, j in sorted(pairs | {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}):
+        one, two = root[i], root[j]
+        root = [min(one, two) if r in (one, two) else r for r in root]
+    docs = spark.createDataFrame([(i, t, None, None, 1, 1, 1, 0.5) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == sorted(set(root))
+    assert corpus_pipeline.drop_copies(spark, docs.where("false"), "").count() == 0
+
+
 def test_a_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
