@@ -75,6 +75,28 @@ def test_ann_splits_a_hot_list(spark):
     assert len(a) == len(b) and sum(u == v for u, v in zip(a, b, strict=True)) / len(a) > 0.9
 
 
+def test_ann_keeps_the_smallest_ids_of_equal_vectors(spark):
+    """A third of the rows equal, one id repeated: ties go to the smaller ids."""
+    x, _ = vectors(spark, n=3000, ties=False)
+    x[0::3] = x[0]
+    rows = [(i, v.tolist(), 1, 5, "v", 9) for i, v in enumerate(x)] + [(9, x[9].tolist(), 1, 5, "v", 9)] * 30
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, VECTORS).repartition(3), k=20, every=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    recall = []
+    for q in range(0, 3000, 20):
+        other = ids != q
+        s = (y[other] * y[ids == q][0]).sum(1)
+        want = ids[other][np.lexsort((ids[other], -s))[:20]]
+        found = [i for _, i in sorted(got[q])]
+        assert len(found) == 20
+        if q % 3 == 0:  # one of the equal rows: the others come first
+            assert found == list(want)
+        recall.append(sum(min(found.count(i), list(want).count(i)) for i in set(found)) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, root long, target double"
 
 
