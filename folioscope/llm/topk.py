@@ -3,12 +3,13 @@
 Candidates are dealt to blocks of bounded size.  The index has, for each block and
 component, posting segments: the rows whose component falls in one quantisation
 level, with the exact values.  A query's segments of all components are taken by
-descending impact, that is by the largest product they can hold, a round of equal
-impacts at a time.  After each round a candidate's score can be at most what it
-has gathered plus, for each component not yet seen, the largest impact that is left
-in it.  The k-th best exact score of the most promising candidates is the bar; when
-those that can still reach it are few, this proves the rest out, and they are
-rescored exactly.  The blocks' lists are merged by rank.
+descending impact, that is by the largest product they can hold, a sixteenth of the
+postings a round.  After a round a candidate's score can be at most what it has
+gathered plus, for each component not yet seen, the largest impact that is left.  The
+k-th best exact score of the most promising candidates is the bar; when those that
+can still reach it are few, this proves the rest out, and they are rescored exactly.
+A query's first proof comes a round before the one at which the block's last query
+stopped.  The blocks' lists are merged by rank.
 
 Blocks and blocks of queries meet pairwise, so no task holds more than one of
 each; this is the stated query set against all rows.
@@ -16,7 +17,8 @@ each; this is the stated query set against all rows.
 Defined results: vectors that are null, or hold null or non-finite components, or
 whose length differs from that of most, take no part, neither do null ids; an
 empty table has no rows; ties go to the smaller id and repeated rows each count;
-a row is no candidate of a query of the same id; other columns are ignored.
+a row is no candidate of a query of the same id; the lists of several rows with a
+query's id are one; scores are longs, as Spark's sums are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,65 +72,99 @@ def segments(rows: DataFrame, blocks: int, levels: int = LEVELS) -> DataFrame:
 
 
 class Block:
-    """The index of one block of candidates."""
+    """The index of one block of candidates.
+
+    A component's segments by descending impact are its postings from one end or the
+    other, by the sign of the query's component; so both orders have their tables of
+    impacts and places, a row a component, filled up with segments of no impact."""
 
     def __init__(self, rows: pd.DataFrame):
         rows = rows.sort_values("part")
         head = rows.iloc[0]
         self.ids = np.array(head["ids"], np.int64)
-        self.x = np.array(head["held"], np.int64).reshape(len(self.ids), -1)
-        self.exact = self.x.astype(np.float64)  # products of small integers, whole in a double
-        self.slots, self.cells, self.values, comp, start, end, high, low = [], [], [], [], [], [], [], []
-        for r in rows.iloc[1:].itertuples():
+        n = len(self.ids)
+        self.x = np.array(head["held"], np.int64).reshape(n, -1)
+        self.most = np.abs(self.x).max(0).astype(np.float64)
+        self.slots, self.values = [], []
+        d, wide = self.x.shape[1], max(map(len, rows["bounds"]))
+        #: By sign of the query's component: the value with the largest impact of each segment, and the postings up to its end.
+        self.edge = np.full((2, d, wide), -np.inf), np.full((2, d, wide + 1), n)
+        self.edge[0][1] = np.inf
+        for c, r in enumerate(rows.iloc[1:].itertuples()):
             v, ends = np.array(r.held, np.float64), np.array(r.bounds, np.int64)
             begins = np.concatenate([[0], ends[:-1]])
-            self.slots.append(np.array(r.slots, np.int32))
-            self.cells.append(self.slots[-1] * self.x.shape[1] + r.part)
+            self.slots.append(np.array(r.slots, np.intp))
             self.values.append(v)
-            for into, what in ((comp, np.full(len(ends), r.part)), (start, begins), (end, ends), (high, v[begins]), (low, v[ends - 1])):
-                into.append(what)
-        self.comp, self.start, self.end, self.high, self.low = (np.concatenate(z) for z in (comp, start, end, high, low))
+            self.edge[0][0, c, : len(ends)], self.edge[1][0, c, : len(ends) + 1] = v[begins], [0, *ends]
+            self.edge[0][1, c, : len(ends)], self.edge[1][1, c, : len(ends) + 1] = v[ends - 1][::-1], [0, *(n - begins[::-1])]
+        self.begin = 4  # sixteenths of the postings that a query reads before the first proof
 
-    def top(self, q: np.ndarray, own: int, k: int, rounds: int = 12, few: float = 0.5) -> list[tuple[int, int]]:
+    def top(self, q: np.ndarray, own: int, k: int, few: float = 0.25) -> list[tuple[int, int]]:
         """(score, id) of the k best candidates, best first, ties to smaller ids.
 
-        A round takes ``1 / rounds`` of the postings; the rest is left out as soon
-        as no more than the share ``few`` of the candidates can still be among the best."""
-        q = q.astype(np.float64)
+        A round takes a sixteenth of the postings; the rest is left out as soon as no more
+        than the share ``few`` of the candidates can still be among the best."""
+        q = q.astype(np.int64)
         allowed = self.ids != own
         k = min(k, int(allowed.sum()))
         if not k:
             return []
-        impact = np.maximum(q[self.comp] * self.high, q[self.comp] * self.low)
-        order = np.argsort(-impact, kind="stable")
-        n, d = self.x.shape
-        gathered, unseen = np.zeros(n), np.ones((n, d), np.float32)
-        flat = unseen.ravel()
-        postings = np.cumsum((self.end - self.start)[order])
-        live, at = np.flatnonzero(allowed), 0
-        while at < len(order) and len(live) > max(4 * k, few * n):
-            upto = int(np.searchsorted(postings, (postings[at - 1] if at else 0) + postings[-1] / rounds)) + 1
-            slots, products, cells = [], [], []
-            for c, a, b in zip(*(z[order[at:upto]].tolist() for z in (self.comp, self.start, self.end)), strict=True):
-                slots.append(self.slots[c][a:b])
-                cells.append(self.cells[c][a:b])
-                products.append(self.values[c][a:b] * q[c])
-            gathered += np.bincount(np.concatenate(slots), weights=np.concatenate(products), minlength=n)
-            flat[np.concatenate(cells)] = 0
-            at = upto
-            left = np.zeros(d)  # by component, the largest impact that is left
-            rest = order[at:][::-1]
-            left[self.comp[rest]] = impact[rest]
-            slack = 1 + 1e-5 * np.abs(left).sum()  # more than rounding in single precision can hide
-            most = gathered + unseen @ left.astype(np.float32) + slack
-            most = most[live]
-            promising = live[np.argpartition(-most, k - 1)[:k]]
-            bar = (self.exact[promising] @ q).min()  # exact scores of k candidates: the k-th best is no less
-            live = live[most >= bar]
-        exact = (self.exact[live] @ q).astype(np.int64)
+        n = len(self.ids)
+        live = np.flatnonzero(allowed)
+        used = np.flatnonzero(q)
+        if len(used) and n > 8 * k:
+            live = self._live(q[used].astype(np.float64), used, allowed, live, k, few)
+        exact = self._exact(live, q)
         best = np.lexsort((self.ids[live], -exact))[:k]
         return [(int(exact[b]), int(self.ids[live[b]])) for b in best]
 
+    def _exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if (np.abs(q) * self.most).sum() < 2**53:  # whole in a double
+            return (self.x[rows].astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        return (self.x[rows] * q).sum(1)
+
+    def _live(self, q: np.ndarray, used: np.ndarray, allowed: np.ndarray, live: np.ndarray, k: int, few: float) -> np.ndarray:
+        """The rows that may be among the best, the ``few`` share of the block or, if all
+        postings tell no better, more."""
+        n, d, sign = len(self.ids), len(used), (q < 0).astype(int)
+        impact = q[:, None] * self.edge[0][sign, used]
+        upto = self.edge[1][sign, used]
+        order = np.argsort(-impact, axis=None)
+        postings = np.cumsum(np.diff(upto, axis=1).ravel()[order])
+        slack = 1e-12 * d * (np.abs(q) * self.most[used]).sum()  # more than rounding can hide
+        gathered, seen, read = np.zeros(n), np.zeros(n, np.int64), np.zeros(d, np.int64)
+        each = np.arange(d)
+        query = np.zeros(self.x.shape[1], np.int64)
+        query[used] = q
+        for part in range(self.begin, 17):
+            at = min(int(np.searchsorted(postings, postings[-1] * part / 16)), len(order) - 1)
+            least = impact.ravel()[order[at]]
+            segments = (impact >= least).sum(1)
+            to = upto[each, segments]
+            slots, products = [], []
+            for c, (j, s, a, b) in enumerate(zip(used.tolist(), sign.tolist(), read.tolist(), to.tolist(), strict=True)):
+                if a < b:
+                    slots.append(self.slots[j][n - b : n - a] if s else self.slots[j][a:b])
+                    products.append((self.values[j][n - b : n - a] if s else self.values[j][a:b]) * q[c])
+            read = to
+            if slots:
+                slots = np.concatenate(slots)
+                gathered += np.bincount(slots, weights=np.concatenate(products), minlength=n)
+                seen += np.bincount(slots, minlength=n)
+            left = impact[segments < impact.shape[1], segments[segments < impact.shape[1]]]
+            left = left[left > -np.inf]
+            # What is not seen of a row has the largest impact that is left, at most.
+            most = gathered + (d - seen) * (left.max() if len(left) else 0.0) + slack
+            most[~allowed] = -np.inf
+            promising = np.argpartition(-most, 8 * k)[: 8 * k]
+            promising = promising[allowed[promising]]
+            bar = np.partition(self._exact(promising, query), len(promising) - k)[len(promising) - k]  # the k-th best is no less
+            live = np.flatnonzero(most >= bar)
+            if len(live) <= max(4 * k, few * n):
+                break
+        self.begin = max(1, part - 1)
+        return live
+
 
 def search(table: DataFrame, k: int = 5, every: int = 50, factor: int = 256, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``
