@@ -18,14 +18,16 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches
-from .words import WordCache
+from .common import ARROW_SLICE, map_batches
+from .words import Encoded, WordCache, plain
 
 #: Fixed values of the byte-level scheme: the bytes that stand for themselves.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -39,6 +41,26 @@ def _alphabet() -> dict[str, int]:
     return signs | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
+def byte_signs() -> np.ndarray:
+    """By byte the code of the character that the file writes for it, line ends as they are."""
+    out = np.zeros(256, "<u4")
+    for c, b in _alphabet().items():
+        out[b] = ord(c)
+    out[0x0A] = 0x0A
+    return out
+
+
+def signed(raw: bytes, signs: np.ndarray, size: int = 2000) -> list[str]:
+    """The bytes as the file writes them, in strings of ``size`` or a few more, cut at line ends."""
+    out, at = [], 0
+    while at < len(raw):
+        end = raw.find(b"\n", at + size)
+        end = len(raw) if end < 0 else end
+        out.append(signs[np.frombuffer(raw[at:end], np.uint8)].tobytes().decode("utf-32-le"))
+        at = end
+    return out
+
+
 class Vocabulary:
     """The tables of a byte-level BPE file."""
 
@@ -71,7 +93,7 @@ class Vocabulary:
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self.single = known
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by the pair as one number
         lengths = np.array([len(b) for b in self.bytes], np.int64)
         #: Decoding: the bytes of all tokens in one string, and where each starts.
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -85,10 +107,10 @@ class Vocabulary:
         Undoing the latest merge on either side again and again shows each pair
         that met at the boundary while both were built; a merge of such a pair that
         comes before the one undone would have crossed the boundary."""
-        key = (a, b)
+        key = a << 32 | b
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits = {}
             found = self._fits[key] = self._kept(a, b)
         return found
@@ -169,7 +191,19 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def _cache(path: str) -> WordCache:
     v = vocabulary(path)
-    return WordCache(lambda words: [np.array(v.encode(w), "<u4").tobytes() for w in words])
+
+    def of(words: list[str]) -> Encoded:
+        found: list[list[int]] = [[]] * len(words)
+        raw, at, pieces = plain(words)
+        each = map(v.encode_piece, raw.split(b"\n")[1:])
+        for k, n in zip(at.tolist(), pieces.tolist(), strict=True):
+            found[k] = next(each) if n == 1 else next(each) + next(each)
+        for k in np.setdiff1d(np.arange(len(words)), at).tolist():
+            found[k] = v.encode(words[k])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    return WordCache(of)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -180,13 +214,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         cache = _cache(path)
 
         def of(batch):
-            ids = [np.frombuffer(r, "<i4") for r in cache([t or "" for t in batch[text].to_pylist()])]
-            return {c: batch[c] for c in kept} | {"ids": ids, "n_tokens": [len(i) for i in ids]}
+            ids, n = cache(batch[text])
+            return {c: batch[c] for c in kept} | {"ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), ids.astype(np.int32)), "n_tokens": n}
 
         return of
 
     columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_batches(docs.select(*kept, text), make, f"{columns}, ids array<int>, n_tokens long")
+    return map_batches(docs.select(*kept, text), make, f"{columns}, ids array<int>, n_tokens long", ARROW_SLICE)
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -211,14 +245,13 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         v, cache = vocabulary(path), _cache(path)
 
         def of(batch):
-            n, ids, back = [], [], []
-            for raw in cache([t or "" for t in batch[text].to_pylist()]):
-                a = np.frombuffer(raw, "<u4")
-                n.append(len(a))
+            found, n = cache(batch[text])
+            ids, back = [], []
+            for a in np.split(found, np.cumsum(n)[:-1]):
                 ids.append(hashlib.sha256(",".join(map(v.digits.__getitem__, a.tolist())).encode()).hexdigest())
                 back.append(hashlib.sha256(v.decode(a.astype(np.int64)).encode()).hexdigest())
             return {key: batch[key], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
 
         return of
 
-    return map_batches(docs.select(key, text), make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(key, text), make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", ARROW_SLICE)

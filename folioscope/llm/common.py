@@ -19,11 +19,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 #: Folds of the labelled rows that classifiers are fitted on.
 FOLDS = 4
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Rows that a side may have to be sent to every executor; beyond, both sides are shuffled.
+#: Rows of a few numbers that a side may have to be sent to every executor; beyond, both sides are shuffled.
 SMALL = 50_000
 #: Bytes of a batch that a task turns into Python objects at once.
 SLICE = 2_000_000
+#: The same where the work is on Arrow's and numpy's arrays.
+ARROW_SLICE = 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +32,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Names:
+    """Names for columns beside those of a table: ``Names(df.columns).size`` is ``size``,
+    with as many underscores before it as make it new."""
+
+    def __init__(self, taken: list[str]):
+        self._taken = {c.lower() for c in taken}
+
+    def __getattr__(self, name: str) -> str:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        while name.lower() in self._taken:
+            name = "_" + name
+        return name
+
+
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share; a temporary one where none is set."""
+    """The folder every executor and the driver share, by ``spark.checkpoint.dir``; where
+    none is set and all is on this machine, one temporary folder for the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _TEMPORARY:
+        _TEMPORARY[app] = tempfile.mkdtemp(prefix="folioscope-")
+    return _TEMPORARY[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,21 +78,19 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | list]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | list]], schema: str, size: int = SLICE) -> DataFrame:
     """mapInArrow with one state per task: ``make()`` gives the function that turns
-    a batch into a dict of columns (or a list of such dicts, one per output batch)."""
+    a batch, of about ``size`` bytes or less, into a dict of columns (or a list of such
+    dicts, one per output batch)."""
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
-    # Spark's own default is 64 MB for each batch; a user's other setting stays.
-    if df.sparkSession.conf.get(_BATCH).rstrip("b") == str(64 << 20):
-        df.sparkSession.conf.set(_BATCH, "8m")
     arrow = to_arrow_schema(struct)
 
     def run(batches):
         fn = make()
         for batch in batches:
             # Python's objects take many times the room of Arrow's: a few MB at a time.
-            step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * size // max(1, batch.nbytes))
             for k in range(0, batch.num_rows, step):
                 out = fn(batch.slice(k, step))
                 for cols in out if isinstance(out, list) else [out]:
@@ -86,15 +108,17 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     """(doc_id, text, y, part) of at most ``per_class`` labelled training rows of each class.
 
     The rows are those with the smallest hash of the id, so the choice neither
-    depends on the order nor on the number of partitions.  Only the chosen ids,
+    depends on the order nor on the number of partitions.  Of several labels of a
+    document the greater counts, of several texts the smaller.  Only the chosen ids,
     2 * per_class at most, are broadcast.  ``part`` deals them to ``FOLDS`` folds by
     another hash: what a fold's rows are calibrated on is learnt from the others.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train).dropDuplicates(["doc_id"])
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
     ids = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
     ids = ids.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(FOLDS)).cast("int"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return texts.groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
 
 
 _WORDS = re.compile(WORD)

@@ -19,19 +19,26 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
-from .words import WordCache
+from .bpe import byte_signs, signed
+from .common import ARROW_SLICE, cut, map_batches
+from .words import Encoded, WordCache, plain
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
+@lru_cache(maxsize=4)
+def _tokenizer(path: str, bare: bool = False):
+    """The tokenizer of a file; ``bare``: its model alone, over pieces between white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     t = Tokenizer.from_file(path)
+    if bare:
+        t = Tokenizer(t.model)
+        t.pre_tokenizer = WhitespaceSplit()
     t.no_truncation()
     t.no_padding()
     return t
@@ -39,14 +46,26 @@ def _tokenizer(path: str):
 
 @lru_cache(maxsize=2)
 def _lengths(path: str) -> WordCache:
-    t = _tokenizer(path)
-
-    def of(words: list[str]) -> list[bytes]:
+    """A cache whose single id of a piece is its number of tokens."""
+    t, bare, signs = _tokenizer(path), _tokenizer(path, bare=True), byte_signs()
+    # The last token of a piece tells so.
+    last = np.array([str(t.id_to_token(i)).endswith(t.model.end_of_word_suffix) for i in range(t.get_vocab_size())])
+
+    def of(words: list[str]) -> Encoded:
+        n = np.zeros(len(words), np.uint32)
+        # The normaliser makes small letters of plain words and changes nothing else.
+        raw, at, pieces = plain([w.lower() for w in words])
+        if len(at):
+            found = bare.encode_batch_fast(signed(raw.replace(b"\n ", b"\n"), signs), add_special_tokens=False)
+            each = np.diff(np.flatnonzero(last[np.concatenate([e.ids for e in found])]), prepend=-1)
+            n[at] = np.add.reduceat(each, np.cumsum(pieces) - pieces)
+        left = np.setdiff1d(np.arange(len(words)), at)
         # Joined by line ends, that belong to no token; offsets tell whose a token is.
-        starts = np.array([a for a, _ in t.encode("\n".join(words), add_special_tokens=False).offsets], np.int64)
-        upto = np.cumsum([len(w) + 1 for w in words])
-        n = np.diff(np.searchsorted(starts, upto), prepend=0).astype(np.uint32) if words else np.zeros(0, np.uint32)
-        return [n[k : k + 1].tobytes() for k in range(len(words))]
+        for some in (left[k : k + 200] for k in range(0, len(left), 200)):
+            starts = np.array([a for a, _ in t.encode("\n".join([words[k] for k in some]), add_special_tokens=False).offsets], np.int64)
+            upto = np.cumsum([len(words[k]) + 1 for k in some])
+            n[some] = np.diff(np.searchsorted(starts, upto), prepend=0)
+        return n, np.ones(len(words), np.int64)
 
     return WordCache(of)
 
@@ -67,15 +86,15 @@ def count(docs: DataFrame, path: str, limit: int = 2048, huge: int = 32768, step
         cache = _lengths(path)
 
         def of(batch):
-            raw = batch["text"].to_pylist()
-            n = [int(np.frombuffer(x, np.uint32).sum()) for x in cache(raw)]
-            return {"key": batch["key"], "n_bytes": [len(t.encode()) for t in raw], "n_tokens": n}
+            each, pieces = cache(batch["text"])
+            n = np.diff(np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[np.cumsum(pieces)], prepend=0)
+            return {"key": batch["key"], "n_bytes": pc.binary_length(batch["text"]).cast("int64"), "n_tokens": n}
 
         return of
 
-    whole = map_batches(rows.where(~is_huge), small, f"key {kind}, n_bytes long, n_tokens long")
-    # The same scan gives the same numbers each time, so they name documents across runs.
-    large = rows.where(is_huge).withColumn("uid", F.monotonically_increasing_id())
+    whole = map_batches(rows.where(~is_huge), small, f"key {kind}, n_bytes long, n_tokens long", ARROW_SLICE)
+    # Written once with their numbers, which name the documents across runs.
+    large = cut(rows.where(is_huge).withColumn("uid", F.monotonically_increasing_id()))
     done: list[DataFrame] = []
     while True:
         found = cut(_spliced(large, path, step, overlap, kind))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,45 +22,67 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import map_batches, scratch
+from .bpe import byte_signs, signed
+from .common import ARROW_SLICE, map_batches, scratch
 from .counts import _tokenizer
-from .words import WordCache
+from .words import Encoded, WordCache, plain
 
 SCHEMA = "shard int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, packed binary"
 
 
 class Encoder:
-    """Encodes pieces as the tokenizer does, many in one call, into little-endian bytes."""
+    """Encodes pieces as the tokenizer does, many in one call.
+
+    Plain words are one piece for its pre-tokenizer, so its model gets them straight, as
+    what the pre-tokenizer would make of their bytes."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.model = _tokenizer(path), _tokenizer(path, bare=True)
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: Ids of two bytes where they all fit.
         self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         # A byte-level token has a character for each of its bytes.
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
+        self.signs = byte_signs()
         self.cache = WordCache(self.pieces)
 
-    def pieces(self, words: list[str]) -> list[bytes]:
+    def pieces(self, words: list[str]) -> Encoded:
+        raw, at, pieces = plain(words)
+        sizes = np.diff(np.flatnonzero(np.frombuffer(raw + b"\n", np.uint8) == 0x0A)) - 1
+        upto = np.cumsum(np.add.reduceat(sizes, np.cumsum(pieces) - pieces)) if len(at) else np.zeros(0, np.int64)
+        ids = [np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(signed(raw, self.signs), add_special_tokens=False)]
+        first = np.concatenate([np.zeros(0, np.uint32), *ids])
+        n = np.zeros(len(words), np.int64)
+        n[at] = np.diff(np.searchsorted(np.cumsum(self.lengths[first]), upto, "right"), prepend=0)
+        left = np.setdiff1d(np.arange(len(words)), at)
+        rest = self._others([words[k] for k in left])
+        n[left] = [len(x) for x in rest]
+        out = np.zeros(int(n.sum()), np.uint32)
+        of_plain = np.zeros(len(words), bool)
+        of_plain[at] = True
+        of_plain = np.repeat(of_plain, n)
+        out[of_plain] = first
+        out[~of_plain] = np.fromiter(chain.from_iterable(rest), np.uint32)
+        return out, n
+
+    def _others(self, words: list[str]) -> list[list[int]]:
         """Pieces begin with a space or stand alone, so the tokens of several joined are
         those of each; the bytes that tokens stand for tell them apart again."""
         spaced = [k for k, w in enumerate(words) if w[:1] == " " and w[-1] > " "]
-        out: list[bytes] = [b""] * len(words)
-        if spaced:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words[k] for k in spaced)], add_special_tokens=False)[0].ids, self.type)
+        out: list[list[int]] = [[]] * len(words)
+        for some in (spaced[k : k + 200] for k in range(0, len(spaced), 200)):
+            ids = self.tokenizer.encode_batch_fast(["".join([words[k] for k in some])], add_special_tokens=False)[0].ids
             ends = np.cumsum(self.lengths[ids])
-            upto = np.cumsum([len(words[k].encode()) for k in spaced])
+            upto = np.cumsum([len(words[k].encode()) for k in some])
             last = np.searchsorted(ends, upto)
-            if ends[-1] == upto[-1] and (ends[last] == upto).all():
-                raw, size = ids.tobytes(), self.type.itemsize
-                bounds = [0, *((last + 1) * size).tolist()]
-                for k, a, b in zip(spaced, bounds, bounds[1:], strict=False):
-                    out[k] = raw[a:b]
-            else:  # no byte-level tokenizer
-                spaced = []
+            if ends[-1] != upto[-1] or (ends[last] != upto).any():
+                raise ValueError("no byte-level tokenizer")
+            bounds = [0, *(last + 1).tolist()]
+            for k, a, b in zip(some, bounds, bounds[1:], strict=False):
+                out[k] = ids[a:b]
         left = sorted(set(range(len(words))).difference(spaced))
         for k, e in zip(left, self.tokenizer.encode_batch_fast([words[k] for k in left], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, self.type).tobytes()
+            out[k] = e.ids
         return out
 
 
@@ -77,7 +100,6 @@ def write(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shards: int |
     bounds = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(bounds)) if shards > 1 else []
     kind = Encoder(tokenizer).type.str
-    last = np.array([end], kind).tobytes()
 
     def encoded():
         cache = _encoder(tokenizer).cache
@@ -86,11 +108,15 @@ def write(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shards: int |
         def of(batch):
             ids = batch["doc_id"].to_pylist()
             shard = [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in ids]
-            return {"shard": shard, "doc_id": batch["doc_id"], "ids": [x + last for x in cache(batch["text"].to_pylist())]}
+            found, n = cache(batch["text"])
+            ends = np.cumsum(n)
+            closed = np.insert(found, ends, end).astype(kind)
+            bounds = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * closed.itemsize]).astype(np.int32)
+            return {"shard": shard, "doc_id": batch["doc_id"], "ids": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(closed)])}
 
         return of
 
-    dealt = map_batches(rows, encoded, "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "shard")
+    dealt = map_batches(rows, encoded, "shard int, doc_id long, ids binary", ARROW_SLICE).repartitionById(len(bounds) + 1, "shard")
     dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(_segments(segment, kind), SCHEMA).write.option("compression", "none").parquet(to)
 
 
