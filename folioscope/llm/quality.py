@@ -125,10 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, params: Params = Para
     return Model(*learnt(None), Logistic(x, np.array([r.y for r in got]), prior), params)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The input's rows with ``score`` and ``predicted`` (1: good enough) added."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
+def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The input's rows with ``score`` and ``predicted`` (1: good enough) added, by the
+    names ``into``; columns of the input with these names go."""
+    keep = [c for c in docs.columns if c not in into]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{into[0]}` double, `{into[1]}` int"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dict_bytes each
 
     def make():
@@ -137,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def of(batch):
             s = m.calibrated(_features(made, batch[text].to_pylist(), m.params.window)) if batch.num_rows else np.zeros(0)
-            return {c: batch[c] for c in keep} | {"score": s, "predicted": (s >= m.params.threshold).astype("int32")}
+            return {c: batch[c] for c in keep} | dict(zip(into, (s, (s >= m.params.threshold).astype("int32")), strict=True))
 
         return of
 

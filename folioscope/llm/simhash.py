@@ -32,10 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_batches
+from .common import WORD, Names, cut, map_batches
 
 _WORDS = re.compile(WORD)
 #: Fixed value: the generator polynomial of the Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -220,13 +220,16 @@ def near_copies(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
 
 def keep_one(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", alike: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id (a row
-    without id only where none has one); of several such rows one."""
+    without id only where none has one); of several rows with that id the one whose text
+    has the smaller hash; of rows equal in both the one whose other columns have it."""
     found = near_copies(docs, shingle, text, key, alike)
     each = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
-    stay = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n")).alias("s")).select("s.doc_id", "s.th", "s.n")
-    stay = cut(stay.withColumnsRenamed({"doc_id": "__id", "th": "__th", "n": "__n"}))
-    there = docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__th"))
-    if stay.where("__n > 1").take(1):  # equal rows: one of each
-        kept = docs.withColumn("__hash", F.xxhash64(text)).join(stay, there, "left_semi").dropDuplicates([key, "__hash"])
-        return kept.select(*docs.columns)
-    return docs.join(stay, there, "left_semi")
+    n = Names(docs.columns)
+    stay = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n")).alias("s"))
+    stay = cut(stay.select(F.col("s.doc_id").alias(n.id), F.col("s.th").alias(n.hash), F.col("s.n").alias(n.rows)))
+    hashed = docs.withColumn(n.text_hash, F.xxhash64(text))
+    kept = hashed.join(stay, F.col(key).eqNullSafe(F.col(n.id)) & (F.col(n.text_hash) == F.col(n.hash)), "left_semi")
+    if stay.where(F.col(n.rows) > 1).take(1):
+        told = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        kept = kept.withColumn(n.rank, F.row_number().over(Window.partitionBy(key, n.text_hash).orderBy(told))).where(F.col(n.rank) == 1)
+    return kept.select(*docs.columns)

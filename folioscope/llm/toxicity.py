@@ -39,8 +39,7 @@ class Params:
     support: float = 0.03  # share of the toxic rows that have it
     least: int = 4  # and their number
     evidence: float = 20.0  # log-likelihood ratio of its two shares
-    entries: int = 4000  # entries of the toxic dictionary, at most
-    ordinary: int = 8000  # bytes of ordinary text in both
+    ordinary: int = 8000  # bytes of each dictionary that are ordinary text
     window: int = 96  # bytes
     step: int = 80
     threshold: float = 0.7
@@ -110,7 +109,7 @@ def marked(counts: dict[str, tuple[int, int]], nt: int, no: int, params: Params)
         if any(g.startswith(q) and told[q][1] * nt * 20 < told[q][0] * no for q in kept):
             continue  # a shorter one is telling already
         kept.append(g)
-    return kept[: params.entries]
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, params: Params = Params()) -> Model:

@@ -130,8 +130,8 @@ def test_linking_is_brute_force(spark):
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(150)]
     got = {r.doc_id: {tuple(s) for s in r.spans_all} for r in secrets.find(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        strong = secrets.strong_spans(t)
-        parts = strong + secrets.weak_spans(t, strong)
+        strong, weak = secrets.spans(t)
+        parts = strong + weak
         scope = lambda s, t=t: sum(m.start() < s[0] for m in re.finditer(r"\n[ \t\r]*\n", t))
         kept = {s for s in parts if s[3] in secrets.COMPLEMENTS and any(secrets.ROLES[o[3]] in secrets.COMPLEMENTS[s[3]] and scope(o) == scope(s) and abs(o[0] - s[0]) <= secrets.REACH for o in parts)}
         assert got[i] == kept | set(strong)
