@@ -14,6 +14,7 @@ connected to: what shares a key is in the end compared or connected.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ SHINGLE = 5
 ALIKE = (4, 5)  # 0.8, as whole numbers
 BANDS = 30
 ROWS = 5
+#: Bits of the sieve, 8 MB.
+SIEVE = 1 << 26
 _RNG = np.random.default_rng(11)
 _XOR, _TIMES = (_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _MIX = _RNG.integers(0, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,20 +71,40 @@ def sketches(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_
     return map_batches(rows, make, f"doc_id {docs.schema[key].dataType.simpleString()}, th long, fp long, sh long, n int, keys array<long>")
 
 
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """SIEVE bits, set for each of the hashes (h): of fixed size whatever their number,
+    so it may be sent to every task; a bit that another hash set only costs work."""
+    bit = hashes.select(F.pmod("h", F.lit(SIEVE)).alias("b"))
+    word = bit.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("bits")).toPandas()
+    out = np.zeros(SIEVE // 64, np.int64)
+    out[word["at"].to_numpy(np.int64)] = word["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """(sh, grams) of the classes in ``pairs``, from one text of each."""
+    """(sh, grams) of the classes in ``pairs``, from one text of each.
+
+    Texts don't move: a sieve tells where they are read which may be asked for, and their
+    grams meet the classes, by row, exactly."""
     asked = pairs.select(F.col("a").alias("sh")).union(pairs.select("b")).distinct()
-    asked = classes.join(asked, "sh").select("sh", "one.*")
-    rows = docs.select(F.col(key).alias("i"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.join(asked, rows["i"].eqNullSafe(asked["doc_id"]) & (rows["h"] == asked["th"])).select("sh", "text")
+    asked = cut(classes.join(asked, "sh").select("sh", "one.*"))
+    rows = docs.select(F.col(key).alias("i"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(asked.select(F.xxhash64("doc_id", "th").alias("h"))))
 
     def make():
+        bits = sieve.value
+
         def of(batch):
-            return {"sh": batch["sh"], "grams": [grams(t).view(np.int64) for t in batch["text"].to_pylist()]}
+            b = batch["h"].to_numpy() % SIEVE
+            at = pa.array(np.flatnonzero(bits[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)))
+            return {c: batch[c].take(at) for c in ("i", "t")} | {"grams": [grams(t).view(np.int64) for t in batch["text"].take(at).to_pylist()]}
 
         return of
 
-    return cut(map_batches(rows, make, "sh long, grams array<long>").dropDuplicates(["sh"]))
+    found = map_batches(rows, make, f"i {docs.schema[key].dataType.simpleString()}, t long, grams array<long>")
+    met = found.join(asked, found["i"].eqNullSafe(asked["doc_id"]) & (found["t"] == asked["th"]))
+    return cut(met.select("sh", "grams").dropDuplicates(["sh"]))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
@@ -97,12 +120,17 @@ def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "do
     with them are alike."""
     classes = cut(prints.groupBy("sh").agg(F.min("fp").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "th")).alias("one")))
     filed = classes.select("sh", "n", F.explode("keys").alias("key"))
-    heads = filed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("key", "sh").alias("o"), "sh", "n")).alias("head"))
-    heads = cut(heads.where("many > 1").select("key", F.col("head.sh").alias("head"), F.col("head.n").alias("hn")))
+    many = filed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    filed = cut(filed.join(many, "key"))
+    # The class that stands for a key is the one that meets most others over all its keys: of
+    # copies of one text that differ from each other this is the text itself.
+    weight = filed.groupBy("sh").agg(F.sum("many").alias("weight"))
+    heads = filed.join(weight, "sh").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("sh").alias("o"), "sh", "n")).alias("head"))
+    heads = cut(heads.select("key", F.col("head.sh").alias("head"), F.col("head.n").alias("hn")))
     num, den = ALIKE
     # Sets whose sizes differ too much cannot be alike.
     near = lambda x, y: f"least({x}, {y}) * {den} >= greatest({x}, {y}) * {num}"
-    filed = cut(filed.join(heads, "key"))
+    filed = cut(filed.drop("many").join(heads, "key"))
     first = cut(filed.where(f"sh <> head AND {near('n', 'hn')}").select(F.least("sh", "head").alias("a"), F.greatest("sh", "head").alias("b")).distinct())
     alike = _verified(docs, classes, first, text, key)
     # What the first round left apart from its key's head meets the others of the key.

@@ -181,9 +181,14 @@ def five(text):
 
 
 def alike(texts):
-    """The pairs (i, j) with a Jaccard similarity of 0.8 or more, i < j."""
-    sets = [five(t) for t in texts]
-    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
+    """The pairs (i, j) with a Jaccard similarity of 0.8 or more, i < j, of those that share a shingle."""
+    sets, holders, pairs = [five(t or "") for t in texts], {}, set()
+    for j, b in enumerate(sets):
+        near = {i for g in b for i in holders.get(g, ())}
+        pairs |= {(i, j) for i in near if 5 * len(sets[i] & b) >= 4 * len(sets[i] | b)}
+        for g in b:
+            holders.setdefault(g, []).append(j)
+    return pairs
 
 
 def test_pipeline_drops_alike_texts(spark):
@@ -276,9 +281,12 @@ def test_pipeline(spark, data):
     good = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     kept = set(quality.doc_id)
     assert sum(i in kept for i, q in good.items() if q) / sum(good.values()) > 0.9
-    prints = [plain_print(t) for t in quality.text]
+    root = list(grouped([plain_print(t) for t in quality.text]))
+    for i, j in sorted(alike(list(quality.text))):
+        one, two = root[i], root[j]
+        root = [one if r == two else r for r in root]
     groups: dict = {}
-    for g, i in zip(grouped(prints), quality.doc_id, strict=True):
+    for g, i in zip(root, quality.doc_id, strict=True):
         groups.setdefault(g, []).append(i)
     assert sorted(copies.doc_id) == sorted(min(g) for g in groups.values())
     assert sorted(clean.doc_id) == sorted(copies.doc_id) and not any(secrets.spans(t)[0] for t in clean.text)
