@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as fn
-from .functions import links, stemming
-from .operators import changes, graph, logs, rawsweep, search, tags
+from .functions import links, stemming, yamlcore
+from .operators import changes, graph, logs, rawsweep, search, stored, tags
 from .plans import ingest
 from .sources import files, git
+from .sources.session import cut
 from .streaming import jobs
 
 #: How JSON lines of hits, sweeps and tool calls name their fields.
@@ -24,11 +25,16 @@ LOG_FIELDS = ("tool", "tool_use_id", "prompt_id", "agent_id", "agent_type", "dur
 
 class Engine:
     """A collection: ``wiki/<folder>/<file>.md`` pages and ``raw/`` files below a root that
-    every executor reaches; with a git repository, dates and deltas come from its history."""
+    every executor reaches; with a git repository, dates and deltas come from its history.
 
-    def __init__(self, spark: SparkSession, root: str, analyzer=stemming.stemmed_tokens):
+    ``index``: a folder for a stored index, that searches bring up to HEAD and read; without
+    one each search builds its own."""
+
+    def __init__(self, spark: SparkSession, root: str, analyzer=stemming.stemmed_tokens, index: str | None = None):
         self.spark, self.root, self.analyzer = spark, root.rstrip("/"), analyzer
+        self.stored = stored.StoredIndex(spark, index, analyzer) if index else None
         spark.dataSource.register(git.GitPages)
+        spark.dataSource.register(git.GitRaw)
 
     # -- reading
 
@@ -68,50 +74,113 @@ class Engine:
             raise ValueError(f"no such page: {ref}")
         return found[0]
 
+    def page_get(self, ref: str, key: str | None = None):
+        """P-10: a page's frontmatter, or one value of it (None if there is none)."""
+        found = yamlcore.values(self.read_page(ref))
+        return found if key is None else found.get(key)
+
+    def page_set(self, ref: str, key: str, value) -> None:
+        """S-16: set a value, all else of the page byte for byte; a source_date must be a date."""
+        self._rewrite(ref, yamlcore.set_key(self.read_page(ref), key, self._dated(key, value)))
+
+    def page_merge(self, ref: str, key: str, values: list) -> None:
+        """O-05: append to a list what it lacks."""
+        self._rewrite(ref, yamlcore.merge_key(self.read_page(ref), key, values))
+
+    def _dated(self, key: str, value):
+        if key != "source_date":
+            return value
+        date = self.spark.range(1).select(fn.canonical_date(F.lit(str(value)))).first()[0]
+        if date is None:
+            raise ValueError(f"not a date: {value}")
+        return date
+
+    def _rewrite(self, ref: str, text: str) -> None:
+        ingest.write_pages(self.spark.createDataFrame([(ref, text)], "page_ref string, text string"), self.root)
+
     # -- search
 
+    def _changed(self, since: str) -> DataFrame:
+        """What StoredIndex.sync is fed with: records of what changed since a commit."""
+        feed = cut(self.committed(since))  # the history is read once
+        live = feed.where("NOT deleted").select("page_ref", F.col("content").alias("text"), F.when(F.col("date") != "", F.col("date")).alias("git_date"))
+        parsed = files.records(live.select("page_ref", "text"), "DROPMALFORMED")
+        links_of = files.record_edges(parsed).where("key = 'supersedes'").groupBy(F.col("src").alias("page_ref")).agg(F.sort_array(F.collect_set("dst")).alias("supersedes"))
+        records = parsed.join(live.select("page_ref", "git_date"), "page_ref").join(links_of, "page_ref", "left")
+        records = records.withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>"))).withColumn("there", F.lit(True))
+        return feed.select("page_ref").distinct().join(records, "page_ref", "left").withColumn("deleted", F.col("there").isNull()).drop("there")
+
+    def sync(self, again: bool = False, full: bool = False) -> stored.Version:
+        """W-07, W-08: bring the stored index up to HEAD; ``again`` walks the last range even
+        at HEAD, ``full`` builds anew.  A version whose commit is gone is built anew too."""
+        now = self.stored.version()
+        lost = now is not None and not git.known(self.root, now.head)
+        return self.stored.sync(git.head(self.root), self._changed, again, full or lost)
+
+    def _current(self, indexed: bool = True) -> tuple[DataFrame, search.Index | None]:
+        if self.stored is not None:
+            v = self.sync()
+            return self.stored.pages(v), self.stored.index(v) if indexed else None
+        view = self.pages()
+        return view, search.build_index(view, self.analyzer) if indexed else None
+
     def search(self, **query) -> DataFrame:
         """Hits with snippets where the query has text."""
-        q, view = search.Query(**query), self.pages()
-        if not q.text.strip():
-            return search.search(view, None, q).withColumn("snippet", F.lit(None).cast("string"))
-        hits = search.search(view, search.build_index(view, self.analyzer), q)
-        return stemming.with_snippets(hits.join(view.select("page_ref", "body"), "page_ref"), q.text.split()).drop("body").orderBy(F.desc("score"), "page_ref")
+        q = search.Query(**query)
+        ranked = bool(q.text.strip()) or q.expression is not None
+        view, index = self._current(ranked)
+        hits = search.search(view, index, q)
+        if not ranked:
+            return hits.withColumn("snippet", F.lit(None).cast("string"))
+        words = q.text.split() if q.expression is None else [w for p in search._leaves(q.expression) for w in p.text.split()]
+        return stemming.with_snippets(hits.join(view.select("page_ref", "body"), "page_ref"), words).drop("body").orderBy(F.desc("score"), "page_ref")
 
     def discover(self, drafts: DataFrame, **how) -> DataFrame:
         """Candidates for drafts (query_id, title, summary, body)."""
-        view = self.pages()
-        asked = drafts.select("query_id", "title", fn.discovery_terms(*[F.coalesce(c, F.lit("")) for c in ("title", "summary", "body")]).alias("terms"))
-        return search.discover(view, search.build_index(view), asked, **how)
+        view, index = self._current()
+        terms = fn.discovery_terms(*[F.coalesce(c, F.lit("")) for c in ("title", "summary", "body")])
+        asked = drafts.select("query_id", "title", self.analyzer(F.array_join(terms, " ")).alias("terms"))
+        return search.discover(view, index, asked, **how).orderBy("query_id", "rank")
 
     def vocabulary(self) -> DataFrame:
-        return tags.vocabulary(tags.page_tags(self.pages()))
+        return tags.vocabulary(tags.page_tags(self._current(False)[0]))
 
     def status(self) -> DataFrame:
-        return tags.status(self.pages(), self.texts())
+        """A-04: of the index as it is, not brought up to HEAD first: pages, pages on disk, how
+        many it lacks at least, and its size, kind, layout and commit."""
+        v = self.stored.version() if self.stored is not None else None
+        pages = self.stored.pages(v) if v is not None else self.pages() if self.stored is None else self.texts().where("false")
+        size = self.stored.bytes() if self.stored is not None else 0
+        own = {"bytes": F.lit(size), "backend": F.lit("parquet" if self.stored is not None else "none"), "version": F.lit(stored.SCHEMA), "head": F.lit(v.head if v is not None else "" if self.stored is not None else git.head(self.root))}
+        return tags.status(pages, self.texts()).withColumns(own)
 
     def resolve(self, seeds: list[str]) -> DataFrame:
-        """The active end of each page's chain, in the working tree."""
+        """G-04: (seed, active, chain): the active end of each page's chain, in the working
+        tree, and the pages on the way from the seed to it."""
         successors = self.edges().where("key = 'supersedes'").select(F.col("dst").alias("src"), F.col("src").alias("nxt"))
-        return graph.chains(self.spark.createDataFrame([(s,) for s in seeds], "seed string"), successors)
+        return graph.paths(self.spark.createDataFrame([(s,) for s in seeds], "seed string"), successors)
 
     # -- writing
 
     def place(self, kind: str, title: str) -> str:
         return self.spark.range(1).select(fn.place(F.lit(kind), F.lit(title))).first()[0]
 
-    def kinds(self) -> list[str]:
-        """I-09: kinds of folders that are not canonical."""
+    def kinds(self) -> dict[str, str]:
+        """I-09: by kind the folders that are not canonical."""
         own = self.texts().select(F.element_at(F.split("page_ref", "/"), 2).alias("f")).distinct()
-        return sorted(r.k for r in own.where(~F.col("f").isin(*fn.FOLDERS.values())).select(F.regexp_replace("f", "s$", "").alias("k")).collect())
+        found = own.where(~F.col("f").isin(*fn.FOLDERS.values())).select("f", F.regexp_replace("f", "s$", "").alias("k")).collect()  # one row a folder
+        return {r.k: r.f for r in sorted(found)}
 
     def move(self, old: str, new: str) -> list[str]:
-        """G-13, K-02: move a page, with its links and those at it; changed pages, sorted."""
+        """G-13, K-02: move a page, with its links and those at it; changed pages, sorted.
+
+        What is to be written is fixed before the first file changes, and the old file goes
+        last, so that a move that broke off can be run again once the new file is removed."""
         before = self.texts()
         after = links.move(before, old, new)
-        changed = changes.classified(before, after)
-        written = after.join(changed.where("change <> 'removed'"), "page_ref", "left_semi")
-        refs = sorted(r.page_ref for r in changed.where("change <> 'removed'").collect())
+        changed = changes.classified(before, after).where("change <> 'removed'")
+        written = cut(after.join(changed, "page_ref", "left_semi"))
+        refs = sorted(r.page_ref for r in written.select("page_ref").collect())
         ingest.write_pages(written, self.root)
         if old.startswith("wiki/"):
             os.remove(os.path.join(self.root, old))
@@ -120,16 +189,18 @@ class Engine:
     def ingest(self, plan: str, dry_run: bool = False) -> DataFrame:
         """Validate a plan in JSON and write its pages; the manifest, or the lines of a dry run."""
         decoded = ingest.decode(self.spark.createDataFrame([(0, plan)], "plan_id int, value string"))
-        texts = self.texts()
+        texts, kinds = self.texts(), self.kinds()
+        old = sorted(f for k, f in kinds.items() if f in fn.FOLDERS and f != fn.FOLDERS[f])
+        if old:
+            raise ValueError(f"folders of kinds must be named in the plural; move the pages of {', '.join('wiki/' + f for f in old)} first")
         existing = texts.join(files.records(texts).select("page_ref", "title"), "page_ref")
-        problems = ingest.errors(decoded, existing).first()
+        problems = ingest.errors(decoded, existing, self.root, kinds).first()
         if problems:
             raise ValueError(f"invalid plan: {problems.errors}")
-        pages = ingest.planned_pages(decoded)
         if dry_run:
-            return ingest.described(pages)
-        resolved = ingest.resolved(decoded, existing)
-        made = ingest.manifest(resolved, decoded)
+            return ingest.described(ingest.planned_pages(decoded), kinds)
+        resolved = cut(ingest.resolved(decoded, existing, kinds))
+        made = ingest.manifest(resolved, decoded, kinds)
         rows = made.collect()  # one plan
         ingest.write_pages(resolved.withColumnRenamed("target", "page_ref"), self.root)
         return self.spark.createDataFrame(rows, made.schema)
@@ -151,16 +222,17 @@ class Engine:
 
     def scan_raw(self, folder: str = "") -> DataFrame:
         """I-10 over the files on disk; dates and dirt from git where there is a repository."""
-        raw = files.raw_files(self.spark, self.root).select("raw_rel")
-        dated, dirty = [], []
+        raw = rawsweep.scoped(files.raw_files(self.spark, self.root).select("raw_rel"), folder)
         if git.is_work_tree(self.root):
-            dated = [(p, d) for p, d in _raw_dates(self.root).items()]
-            dirty = [(p,) for p in _raw_dirty(self.root)]
-        dates = self.spark.createDataFrame(dated, "raw_rel string, last_commit_date string")
-        marks = self.spark.createDataFrame(dirty, "raw_rel string").withColumn("dirty", F.lit(True))
-        raw = raw.join(dates, "raw_rel", "left").join(marks, "raw_rel", "left").select("raw_rel", F.coalesce("last_commit_date", F.lit("")).alias("last_commit_date"), F.coalesce("dirty", F.lit(False)).alias("dirty"))
-        dates = self.committed().select("page_ref", F.col("date").alias("git_date")) if git.is_work_tree(self.root) else self.spark.createDataFrame([], "page_ref string, git_date string")
-        return rawsweep.sweep(rawsweep.scoped(raw, folder), files.policies(self.spark, self.root), rawsweep.back_pointers(self.edges()), dates)
+            told = self.spark.read.format("git_raw").options(root=self.root).load()
+            told = told.groupBy("raw_rel").agg(F.max("date").alias("last_commit_date"), F.bool_or("dirty").alias("dirty"))  # R-08, R-09
+            raw = raw.join(told, "raw_rel", "left")
+            dates = self.committed().select("page_ref", F.col("date").alias("git_date"))
+        else:
+            raw = raw.withColumns({"last_commit_date": F.lit(""), "dirty": F.lit(False)})
+            dates = self.spark.createDataFrame([], "page_ref string, git_date string")
+        raw = raw.select("raw_rel", F.coalesce("last_commit_date", F.lit("")).alias("last_commit_date"), F.coalesce("dirty", F.lit(False)).alias("dirty"))
+        return rawsweep.sweep(raw, files.policies(self.spark, self.root), rawsweep.back_pointers(self.edges()), dates)
 
     def ignore(self, folder: str, pattern: str, comment: str = "") -> None:
         """K-12: add a pattern to a folder's policy, once."""
@@ -172,15 +244,14 @@ class Engine:
             with open(path, "a", encoding="utf-8") as f:
                 f.write(f"{pattern}  # {comment}\n" if comment else f"{pattern}\n")
 
-    def watch(self, events: DataFrame, queue: str, checkpoint: str, **how):
-        return jobs.watch(jobs.debounce(events), self.scan_raw, queue, checkpoint, **how)
+    def raw_events(self) -> DataFrame:
+        """W-01: a stream of (rel, ts): files below ``raw`` as they appear or change."""
+        return files.raw_stream(self.spark, self.root)
 
-    def sync(self, index: str, checkpoint: str) -> jobs.Snapshots:
-        """W-07: bring a snapshot folder up to HEAD."""
-        snapshots = jobs.Snapshots(self.spark, index)
-        feed = self.spark.readStream.format("git_pages").options(root=self.root).load()
-        jobs.incremental(feed, snapshots, lambda p: files.records(p.select("page_ref", "text")).join(p.select("page_ref", "git_date"), "page_ref"), checkpoint).awaitTermination()
-        return snapshots
+    def watch(self, queue: str, checkpoint: str, events: DataFrame | None = None, **how):
+        """W-02 to W-06: settled files that a sweep finds eligible go to the queue."""
+        settled = jobs.debounce(events if events is not None else self.raw_events())
+        return jobs.watch(settled, self.scan_raw, queue, checkpoint, **how)
 
     def init(self) -> None:
         """K-13: the folders of a new collection."""
@@ -199,24 +270,11 @@ def as_json_lines(df: DataFrame, fields: tuple[str, ...] = HIT_FIELDS) -> DataFr
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def append_calls(calls: DataFrame, path: str) -> None:
+    """K-10: tool calls at the end of a log of JSON lines."""
+    as_json_lines(calls, LOG_FIELDS).write.mode("append").text(path)
+
+
 def as_document(df: DataFrame) -> str:
     """Two-space JSON of a bounded result."""
     return json.dumps([json.loads(r.value) for r in as_json_lines(df, tuple(df.columns)).collect()], indent=2, ensure_ascii=False)
-
-
-def _raw_dates(root: str) -> dict[str, str]:
-    """R-08: by raw file the greatest author date of all its commits."""
-    out: dict[str, str] = {}
-    at = ""
-    for line in subprocess.run(["git", "-c", "core.quotePath=false", "-C", root, "log", "-m", "--format=%x01%ad", "--date=format-local:%Y-%m-%d", "--name-only", "--", "raw"], capture_output=True, check=True, env={**os.environ, "TZ": "UTC"}).stdout.decode().splitlines():
-        if line.startswith("\x01"):
-            at = line[1:]
-        elif line:
-            out[line] = max(at, out.get(line, ""))
-    return out
-
-
-def _raw_dirty(root: str) -> list[str]:
-    """R-09: raw files that differ from HEAD or are not in it."""
-    found = subprocess.run(["git", "-c", "core.quotePath=false", "-C", root, "status", "--porcelain", "-uall", "--", "raw"], capture_output=True, check=True).stdout.decode().splitlines()
-    return [x[3:].strip('"') for x in found]

@@ -11,9 +11,10 @@ SLUG_LENGTH = 64
 SLUG_LEAST_CUT = 8
 #: Fixed value: what a link destination percent-encodes; ``%`` first, so that nothing is encoded twice.
 ENCODED = {"%": "%25", " ": "%20", "#": "%23", "(": "%28", ")": "%29", "<": "%3C", ">": "%3E"}
+#: The formats of a page ref, of a frontmatter block and of a date.
 PAGE_REF = r"^wiki/[^/]*/[^/]*\.md\z"
 FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(?:(.*?\n)?)---[ \t]*(?:\r?\n|\z)"
-DATE = r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+DATE = r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[Zz]|[+-]\d{2}:?\d{2})?)?$"
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -109,23 +110,11 @@ def compose_link(title: Column | str, target: Column | str, folder: Column | str
     return F.concat(F.lit("["), F.col(title) if isinstance(title, str) else title, F.lit("]("), percent_encode(relative_path(target, folder)), F.lit(")"))
 
 
-def is_relative(dest: Column | str) -> Column:
-    """F-11: a destination that stands for a path within the collection."""
-    d = F.col(dest) if isinstance(dest, str) else dest
-    return (d != "") & ~d.startswith("/") & ~d.startswith("#") & ~d.contains("://")
-
-
 def strictly_newer(raw_date: Column, page_date: Column) -> Column:
     """F-12: whether the raw file is newer than the page that came of it."""
     return F.when(page_date == "", True).when(raw_date == "", False).otherwise(raw_date > page_date)
 
 
-def line_of(text: Column | str, offset: Column) -> Column:
-    """S-19: line ends before a 0-based offset."""
-    head = F.substring(F.col(text) if isinstance(text, str) else text, F.lit(1), offset)
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-
-
 def frontmatter(text: Column | str) -> Column:
     """P-01: the block between the fences, "" where there is none."""
     return F.regexp_extract(text, FRONTMATTER, 1)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 import yaml
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import DataFrame
 
 _BLOCK = re.compile(r"\A---[ \t]*\r?\n(.*?\n)?---[ \t]*(?:\r?\n|\Z)", re.S)
 
@@ -110,21 +109,19 @@ def merge_key(text: str, key: str, new: list) -> str:
     return set_key(text, key, merged)
 
 
-def rendered(value) -> str:
-    """S-15: a value as a record field has it."""
-    if value is None:
-        return ""
-    return value if isinstance(value, str) else json.dumps(value) if isinstance(value, bool | dict | list) else str(value)
+def with_frontmatter(pages: DataFrame) -> DataFrame:
+    """P-02: (page_ref, text, json): the mapping as JSON; null where the YAML is invalid.
 
+    A step of its own, that the optimizer neither copies nor moves into filters."""
 
-@F.pandas_udf(StringType())
-def frontmatter_json(text: pd.Series) -> pd.Series:
-    """P-02 as a column: the mapping as JSON; null where the YAML is invalid."""
-
-    def of(t):
+    def of(t: str | None) -> str | None:
         try:
             return json.dumps(values(t or ""), ensure_ascii=False)
         except yaml.YAMLError:
             return None
 
-    return text.map(of)
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["page_ref"], b["text"], pa.array(map(of, b["text"].to_pylist()), pa.string())], names=["page_ref", "text", "json"])
+
+    return pages.select("page_ref", "text").mapInArrow(run, "page_ref string, text string, json string")

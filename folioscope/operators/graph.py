@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import cut
@@ -10,6 +10,27 @@ from ..sources.session import cut
 #: The edge keys, in their order.
 EDGE_KEYS = ("raw_source", "supersedes", "refines", "contradicts", "example-of", "source", "related")
 
+#: By shape of a question the edge that answers it and the way to follow it.
+QUESTIONS = {
+    "what it refines": ("refines", "out"),
+    "what refines it": ("refines", "in"),
+    "what superseded it": ("supersedes", "in"),
+    "what it supersedes": ("supersedes", "out"),
+    "what contradicts it": ("contradicts", "in"),
+    "examples of it": ("example-of", "in"),
+    "what it is an example of": ("example-of", "out"),
+    "what it draws on": ("source", "out"),
+    "what uses it": ("source", "in"),
+    "what is related to it": ("related", "both"),
+}
+
+
+def answers(seeds: DataFrame, edges: DataFrame, question: str, hops: int = 1, budget: int | None = None) -> DataFrame:
+    """G-06: (seed, page_ref, hop) by the edge of a question's shape; all typed edges but
+    ``source``, both ways, for a shape that isn't among QUESTIONS."""
+    key, way = QUESTIONS.get(question, (None, "both"))
+    return neighbours(seeds, edges, hops, (key,) if key else None, way, budget)
+
 
 def inverted(edges: DataFrame, key: str = "supersedes") -> DataFrame:
     """G-01, G-02: (dst, all_sources, first_source) of a key; self edges don't count (Q-08)."""
@@ -65,15 +86,35 @@ def _cyclic(starts: DataFrame, step: DataFrame) -> DataFrame | None:
             return done
 
 
+def paths(seeds: DataFrame, successors: DataFrame) -> DataFrame:
+    """G-04: (seed, active, chain): the end of each seed's chain and the pages from the seed to
+    it, by following (src, nxt).  A join a hop, over the seeds that still go on, so it is for
+    questions about some pages; ``chains`` is for all.  Equal seeds each have a row."""
+    step = successors.where("src <> nxt").groupBy("src").agg(F.min("nxt").alias("nxt"))
+    now = seeds.select("seed").distinct().select("seed", F.array("seed").alias("chain"))
+    done = None
+    while True:
+        now = cut(now)
+        met = now.join(step, F.element_at("chain", -1) == F.col("src"), "left")
+        ends = F.col("nxt").isNull() | F.array_contains("chain", F.col("nxt"))
+        here = met.where(ends).select("seed", "chain")
+        done = here if done is None else done.unionByName(here)
+        now = met.where(~ends).select("seed", F.concat("chain", F.array("nxt")).alias("chain"))
+        if not now.take(1):
+            break
+    return seeds.select("seed").join(done, "seed").select("seed", F.element_at("chain", -1).alias("active"), "chain")
+
+
 def current(pages: DataFrame, resolved: DataFrame) -> DataFrame:
     """G-09: each page replaced by the active end of its chain, each end once."""
     return pages.select(F.col("page_ref").alias("seed")).join(resolved, "seed").select(F.col("active").alias("page_ref")).distinct()
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 2, keys: tuple[str, ...] | None = None, direction: str = "both") -> DataFrame:
+def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 2, keys: tuple[str, ...] | None = None, direction: str = "both", budget: int | None = None) -> DataFrame:
     """G-06, G-07: (seed, page_ref, hop) within ``hops``, the least hop of each.
 
-    By default all keys but ``source``, both ways."""
+    By default all keys but ``source``, both ways; ``budget``: at most so many pages of each
+    seed, nearer ones first, then by ref."""
     keys = keys or tuple(k for k in EDGE_KEYS if k != "source")
     some = edges.where(F.col("key").isin(*keys))
     out, back = some.select(F.col("src").alias("a"), F.col("dst").alias("b")), some.select(F.col("dst").alias("a"), F.col("src").alias("b"))
@@ -83,7 +124,11 @@ def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 2, keys: tuple[st
     for hop in range(1, hops + 1):
         last = last.join(ways, last["page_ref"] == ways["a"]).select("seed", F.col("b").alias("page_ref"), F.lit(hop).alias("hop")).distinct()
         found = found.union(last)
-    return found.groupBy("seed", "page_ref").agg(F.min("hop").alias("hop"))
+    least = found.groupBy("seed", "page_ref").agg(F.min("hop").alias("hop"))
+    if budget is None:
+        return least
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "page_ref"))
+    return least.withColumn("place", place).where(F.col("place") <= budget).drop("place")
 
 
 def provenance(edges: DataFrame) -> DataFrame:

@@ -75,8 +75,17 @@ def captures(new: DataFrame, existing: DataFrame) -> DataFrame:
 def debounced(events: DataFrame, gap_seconds: int) -> DataFrame:
     """W-02 in batch: (rel, started, last_event, events): runs of a key's events that are no
     more than the gap apart; the run settles a gap after its last event."""
-    w = Window.partitionBy("rel").orderBy("ts", "seq")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    apart = at - F.lag(at).over(w) > gap_seconds * 1_000_000
-    runs = events.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("rel", "run").agg(F.min("ts").alias("started"), F.max("ts").alias("last_event"), F.count("*").alias("events")).drop("run")
+    gap = gap_seconds * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    # Within slots of a key's time first, so that a busy key is many tasks, then between slots.
+    slot = F.floor(micros("ts") / max(gap * 1000, 1))
+
+    def runs(rows: DataFrame, keys: tuple[str, ...], n) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("started", "last_event")
+        apart = micros("started") - F.lag(micros("last_event")).over(w) > gap
+        told = rows.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return told.groupBy(*keys, "run").agg(F.min("started").alias("started"), F.max("last_event").alias("last_event"), n.alias("events")).drop("run")
+
+    parts = events.select("rel", F.col("ts").alias("started"), F.col("ts").alias("last_event"), slot.alias("slot"))
+    parts = runs(parts, ("rel", "slot"), F.count("*"))
+    return runs(parts, ("rel",), F.sum("events")).select("rel", "started", "last_event", "events")

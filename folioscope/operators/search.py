@@ -1,4 +1,4 @@
-"""Ranked full-text search: postings, BM25, phrases, filters and top-k.
+"""Ranked full-text search: postings, BM25, phrases, expressions, filters and top-k.
 
 The index is three DataFrames: postings (a row per term and page with places and
 weighted frequency), doc_stats and corpus.  Written sorted by term, a search reads
@@ -24,12 +24,49 @@ DATE_FIELDS = ("source_date", "git_date")
 HIT = ("page_ref", "score", "title", "summary", "kind", "source_date", "git_date", "volatility", "superseded_by")
 
 
+@dataclass(frozen=True)
+class Phrase:
+    """S-10: adjacent tokens of one column; ``prefix``: the last one may go on; ``columns``:
+    the only ones to look in."""
+
+    text: str
+    prefix: bool = False
+    columns: tuple[str, ...] = tuple(WEIGHTS)
+
+
+@dataclass(frozen=True)
+class Near:
+    """Phrases in one column with at most ``distance`` tokens between the first and the last."""
+
+    phrases: tuple[Phrase, ...]
+    distance: int = 10
+
+
+@dataclass(frozen=True)
+class And:
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Or:
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Not:
+    """What ``keep`` matches and ``drop`` doesn't."""
+
+    keep: object
+    drop: object
+
+
 @dataclass(frozen=True)
 class Query:
     """What to search for (D-12)."""
 
     text: str = ""
     match: str = "all"  # all phrases, or any
+    expression: object = None  # S-09: a tree of Phrase, Near, And, Or and Not, in place of the text
     tags_all: tuple[str, ...] = ()
     tags_any: tuple[str, ...] = ()
     kinds: tuple[str, ...] = ()
@@ -61,32 +98,64 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "corpus")), analyzer)
 
 
+def _total(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
+def corpus_of(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 def build_index(pages: DataFrame, analyzer=tokens) -> Index:
     """S-11 and B-01's inputs: terms with places for each text column of (page_ref, title, summary, body)."""
     words = pages.select("page_ref", *[analyzer(c).alias(c) for c in WEIGHTS])
     flat = reduce(lambda a, b: a.unionByName(b), [words.select("page_ref", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in WEIGHTS])
     places = [F.sort_array(F.collect_list(F.when(F.col("col") == c, F.col("pos")))).alias(c) for c in WEIGHTS]
     postings = flat.groupBy("term", "page_ref").agg(*places)
-    tf = reduce(lambda a, b: a + b, [F.size(c) * F.lit(w) for c, w in WEIGHTS.items()])
-    stats = words.select("page_ref", reduce(lambda a, b: a + b, [F.size(c) for c in WEIGHTS]).cast("long").alias("dl"))
-    corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings.withColumn("tf", tf), stats, corpus, analyzer)
+    stats = words.select("page_ref", _total([F.size(c) for c in WEIGHTS]).cast("long").alias("dl"))
+    return Index(postings.withColumn("tf", _weighted()), stats, corpus_of(stats), analyzer)
 
 
-def phrases_of(spark: SparkSession, text: str, analyzer=tokens) -> list[tuple[str, ...]]:
-    """S-07: each white-space separated word is a phrase of its tokens; quotes separate;
-    phrases without tokens are left out."""
-    words = text.replace('"', " ").split()
-    if not words:
+def _weighted() -> Column:
+    return _total([F.size(c) * F.lit(w) for c, w in WEIGHTS.items()])
+
+
+def phrases_of(spark: SparkSession, texts: list[str], analyzer=tokens) -> list[tuple[str, ...]]:
+    """The tokens of each text, none for some."""
+    if not texts:
         return []
-    rows = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", analyzer("w").alias("t")).orderBy("i").collect()
-    return [tuple(r.t) for r in rows if r.t]
+    # Literals in a one-row table: the optimizer folds what it can, and no data is read.
+    row = spark.range(1).select(*[analyzer(F.lit(t)).alias(f"t{i}") for i, t in enumerate(texts)]).first()
+    return [tuple(t) for t in row]
+
+
+def words_of(text: str) -> list[str]:
+    """S-07: each white-space separated word is a phrase; quotes separate."""
+    return text.replace('"', " ").split()
 
 
 def _moved(places: str, by: int) -> Column:
     return F.transform(places, lambda x: x - by)
 
 
+def _places(index: Index, words: tuple[str, ...], prefix: bool, columns: tuple[str, ...]) -> DataFrame:
+    """(page_ref, title, summary, body): where a phrase begins, by column."""
+
+    def of(term: str, open_ended: bool) -> DataFrame:
+        empty = F.array().cast("array<int>")
+        picked = [(F.col(c) if c in columns else empty).alias(c) for c in WEIGHTS]
+        if not open_ended:
+            return index.postings.where(F.col("term") == term).select("page_ref", *picked)
+        found = index.postings.where(F.col("term").startswith(term)).select("page_ref", *picked)
+        return found.groupBy("page_ref").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in WEIGHTS])
+
+    met = of(words[0], prefix and len(words) == 1)
+    for k, term in enumerate(words[1:], 1):
+        nxt = of(term, prefix and k == len(words) - 1).select("page_ref", *[_moved(c, k).alias(f"{c}_next") for c in WEIGHTS])
+        met = met.join(nxt, "page_ref").select("page_ref", *[F.array_intersect(c, f"{c}_next").alias(c) for c in WEIGHTS])
+    return met.where(_total([F.size(c) for c in WEIGHTS]) > 0)
+
+
 def phrase_hits(index: Index, phrases: list[tuple[str, ...]]) -> DataFrame:
     """(q, times, page_ref, tf) of each distinct phrase; S-10: a phrase is adjacent
     tokens of one column.  A repeated phrase counts as often as it stands there."""
@@ -99,25 +168,104 @@ def phrase_hits(index: Index, phrases: list[tuple[str, ...]]) -> DataFrame:
         out.append(found.select(q[F.col("term")].alias("q"), "page_ref", "tf"))
     for i, p in enumerate(distinct):
         if len(p) > 1:
-            met = index.postings.where(F.col("term") == p[0]).select("page_ref", *WEIGHTS)
-            for k, term in enumerate(p[1:], 1):
-                nxt = index.postings.where(F.col("term") == term).select("page_ref", *[_moved(c, k).alias(f"{c}_next") for c in WEIGHTS])
-                met = met.join(nxt, "page_ref").select("page_ref", *[F.array_intersect(c, f"{c}_next").alias(c) for c in WEIGHTS])
-            tf = reduce(lambda a, b: a + b, [F.size(c) * F.lit(w) for c, w in WEIGHTS.items()])
-            out.append(met.select(F.lit(i).alias("q"), "page_ref", tf.alias("tf")).where("tf > 0"))
+            out.append(_places(index, p, False, tuple(WEIGHTS)).select(F.lit(i).alias("q"), "page_ref", _weighted().alias("tf")))
     times = F.create_map(*[F.lit(x) for i, p in enumerate(distinct) for x in (i, phrases.count(p))])
     return reduce(lambda a, b: a.unionByName(b), out).withColumn("times", times[F.col("q")])
 
 
+# ---- expressions: a tree becomes semi and anti joins of the postings of its phrases
+
+
+def _leaves(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node]
+    if isinstance(node, Near):
+        return list(node.phrases)
+    if isinstance(node, Not):
+        return _leaves(node.keep) + _leaves(node.drop)
+    return [p for n in node.parts for p in _leaves(n)]
+
+
+def _near(met: DataFrame, sizes: list[int], distance: int) -> DataFrame:
+    """Of (page_ref, <column>_<i> places of each phrase) the places that take part: a stretch
+    that ends where one phrase begins holds a place of each of the others."""
+
+    def within(size: int, last: Column):
+        return lambda p: (p <= last) & (p >= last - size - distance)
+
+    def whole(column: str):
+        return lambda last: reduce(lambda a, b: a & b, [F.exists(f"{column}_{i}", within(n, last)) for i, n in enumerate(sizes)])
+
+    def held(column: str, size: int):
+        return lambda p: F.exists(f"{column}_ends", lambda last: within(size, last)(p))
+
+    out = met
+    for c in WEIGHTS:
+        named = [f"{c}_{i}" for i in range(len(sizes))]
+        out = out.withColumn(f"{c}_ends", F.filter(F.array_distinct(F.concat(*named)), whole(c)))
+        out = out.withColumns({x: F.filter(x, held(c, n)) for x, n in zip(named, sizes, strict=True)})
+    return out.where(_total([F.size(f"{c}_ends") for c in WEIGHTS]) > 0)
+
+
+def expression_hits(index: Index, node, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """S-09: (q, times, page_ref, tf) of all phrases of a tree, and (page_ref) of what it
+    matches.  A phrase without tokens is ignored beside others."""
+    leaves = list(dict.fromkeys(_leaves(node)))
+    words = dict(zip(leaves, phrases_of(spark, [p.text for p in leaves], index.analyzer), strict=True))
+    places = {p: _places(index, words[p], p.prefix, p.columns) for p in leaves if words[p]}
+    hits: list[DataFrame] = []
+
+    def matched(n) -> DataFrame | None:
+        if isinstance(n, Phrase):
+            if n not in places:
+                return None
+            hits.append(places[n].select(F.lit(len(hits)).alias("q"), "page_ref", _weighted().alias("tf"), F.lit(leaves.index(n)).alias("phrase")))
+            return places[n].select("page_ref")
+        if isinstance(n, Near):
+            some = [p for p in n.phrases if p in places]
+            if not some:
+                return None
+            met = reduce(lambda a, b: a.join(b, "page_ref"), [places[p].select("page_ref", *[F.col(c).alias(f"{c}_{i}") for c in WEIGHTS]) for i, p in enumerate(some)])
+            met = _near(met, [len(words[p]) for p in some], n.distance)
+            for i, p in enumerate(some):
+                tf = _total([F.size(f"{c}_{i}") * F.lit(w) for c, w in WEIGHTS.items()])
+                hits.append(met.select(F.lit(len(hits)).alias("q"), "page_ref", tf.alias("tf"), F.lit(leaves.index(p)).alias("phrase")))
+            return met.select("page_ref")
+        if isinstance(n, Not):
+            keep, drop = matched(n.keep), matched(n.drop)
+            return keep if keep is None or drop is None else keep.join(drop, "page_ref", "left_anti")
+        parts = [m for m in map(matched, n.parts) if m is not None]
+        if not parts:
+            return None
+        if isinstance(n, And):
+            return reduce(lambda a, b: a.join(b, "page_ref", "left_semi"), parts)
+        return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+    found = matched(node)
+    if found is None:
+        none = index.doc_stats.where("false").select("page_ref")
+        return none.select(F.lit(0).alias("q"), "page_ref", F.lit(0.0).alias("tf"), F.lit(0).alias("phrase"), F.lit(1).alias("times")), none
+    # How many pages have a phrase is told by its own places, wherever it stands in the tree.
+    counted = reduce(lambda a, b: a.unionByName(b), [d.select(F.lit(leaves.index(p)).alias("phrase"), "page_ref") for p, d in places.items()]).groupBy("phrase").agg(F.count("*").alias("nq"))
+    all_hits = reduce(lambda a, b: a.unionByName(b), hits).withColumn("times", F.lit(1))
+    return all_hits.join(F.broadcast(counted), "phrase"), found  # a row for each phrase of the query
+
+
 def bm25(hits: DataFrame, index: Index, keys: tuple[str, ...] = ()) -> DataFrame:
-    """B-01: (keys, page_ref, score, matched) from hits (keys, q, times, page_ref, tf)."""
-    n_q = hits.groupBy("q").agg(F.countDistinct("page_ref").alias("nq"))
+    """B-01: (keys, page_ref, score, matched) from hits (keys, q, times, page_ref, tf), with nq
+    where it isn't the number of their pages."""
+    n_q = hits.select("q", "nq").distinct() if "nq" in hits.columns else hits.groupBy("q").agg(F.countDistinct("page_ref").alias("nq"))
     idf = F.ln((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
     # corpus is one row, and there is a row of n_q for each phrase of the query.
     rated = n_q.crossJoin(F.broadcast(index.corpus)).select("q", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(rated, "q").join(index.doc_stats, "page_ref")
-    return scored.groupBy(*keys, "page_ref").agg(F.round(F.sum(part), 6).alias("score"), F.countDistinct("q").alias("matched"))
+    return scored.groupBy(*keys, "page_ref").agg(_summed(part).alias("score"), F.countDistinct("q").alias("matched"))
+
+
+def _summed(part: Column) -> Column:
+    """The sum in whole units of 1e-12, so that equal parts give equal scores in any order."""
+    return F.sum(F.round(part * 1e12).cast("long")) / 1e12
 
 
 def where(query: Query) -> Column:
@@ -147,14 +295,18 @@ def search(pages: DataFrame, index: Index | None, query: Query) -> DataFrame:
     that pass the filters by page_ref, with score 0 and no tags (O-02)."""
     limit = query.limit if query.limit > 0 else LIMIT
     kept = pages.where(where(query))
-    phrases = phrases_of(pages.sparkSession, query.text, index.analyzer if index else tokens) if query.text.strip() else []
-    if not query.text.strip():
+    if not query.text.strip() and query.expression is None:
         return kept.withColumns({"score": F.lit(0.0)}).select(*HIT, F.array().cast("array<string>").alias("tags")).orderBy("page_ref").limit(limit)
-    if not phrases:
-        return kept.withColumn("score", F.lit(0.0)).select(*HIT, "tags").where("false")
-    scored = bm25(phrase_hits(index, phrases), index)
-    if query.match == "all":
-        scored = scored.where(F.col("matched") == len(set(phrases)))
+    if query.expression is not None:
+        hits, found = expression_hits(index, query.expression, pages.sparkSession)
+        scored = bm25(hits, index).join(found, "page_ref", "left_semi")
+    else:
+        phrases = [p for p in phrases_of(pages.sparkSession, words_of(query.text), index.analyzer) if p]
+        if not phrases:
+            return kept.withColumn("score", F.lit(0.0)).select(*HIT, "tags").where("false")
+        scored = bm25(phrase_hits(index, phrases), index)
+        if query.match == "all":
+            scored = scored.where(F.col("matched") == len(set(phrases)))
     # J-01, J-03: tags come with the page; there is no lookup for each hit.
     return kept.join(scored, "page_ref").select(*HIT, F.sort_array("tags").alias("tags")).orderBy(F.desc("score"), "page_ref").limit(limit)
 
@@ -163,17 +315,19 @@ def search_many(pages: DataFrame, index: Index, asked: DataFrame, limit: int = 2
     """J-12, O-03: for each row (query_id, terms) the ``limit`` best pages by any of its
     distinct terms, in one job: terms meet postings, nothing is looped over."""
     terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("q"))
-    hits = index.postings.select(F.col("term").alias("q"), "page_ref", "tf").join(terms.select("q").distinct(), "q", "left_semi").withColumn("times", F.lit(1))
-    met = hits.join(terms, "q")
-    # Figures of terms come from hits before they are multiplied by queries.
+    hits = index.postings.select(F.col("term").alias("q"), "page_ref", "tf").join(terms.select("q").distinct(), "q", "left_semi")
+    # Figures of terms come from all hits; only current pages go on to meet the queries.
     n_q = hits.groupBy("q").agg(F.count("*").alias("nq"))
     idf = F.ln((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
     rated = n_q.crossJoin(F.broadcast(index.corpus)).select("q", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.join(rated, "q").join(index.doc_stats, "page_ref").groupBy("query_id", "page_ref").agg(F.round(F.sum(part), 6).alias("score"))
-    kept = scored.join(pages.select("page_ref", F.col("title").alias("page_title")), "page_ref")
+    current = index.doc_stats.join(pages.select("page_ref", F.col("title").alias("page_title")), "page_ref")
+    # What a term gives a page is the same for every query.
+    weighed = hits.join(rated, "q").join(current, "page_ref").select("q", "page_ref", part.alias("part"))
+    scored = weighed.join(terms, "q").groupBy("query_id", "page_ref").agg(_summed(F.col("part")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_ref"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= limit)
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best.join(current.select("page_ref", "page_title"), "page_ref")
 
 
 def classify(score: Column, shares_title: Column, duplicate: float = 15.0, related: float = 5.0) -> Column:

@@ -47,7 +47,7 @@ SCORED = r"""
 nq AS (SELECT q, count(DISTINCT page_ref) AS nq FROM hits GROUP BY q),
 scored AS (
   SELECT h.page_ref, count(DISTINCT h.q) AS matched,
-         round(sum(greatest_idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * d.dl / avgdl))), 6) AS score
+         sum(CAST(round(1e12 * greatest_idf * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * d.dl / avgdl))) AS BIGINT)) / 1e12 AS score
   FROM hits h JOIN (SELECT q, avgdl, CASE WHEN ln((n - nq + 0.5) / (nq + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nq + 0.5) / (nq + 0.5)) END AS greatest_idf FROM nq, corpus) r ON h.q = r.q
   JOIN dls d ON h.page_ref = d.page_ref GROUP BY h.page_ref)
 """
@@ -59,21 +59,21 @@ def hits_sql(terms: list[str]) -> str:
     return f"hits AS (SELECT term AS q, page_ref, {TF} AS tf FROM words WHERE term IN ({wanted}) GROUP BY term, page_ref)"
 
 
-HIT_COLUMNS = "p.page_ref, score, title, kind, source_date, git_date, volatility"
+HIT_COLUMNS = "p.page_ref, round(score, 6) AS score, title, kind, source_date, git_date, volatility"
 
 
 def found_sql(terms: list[str], condition: str, limit: int = 20) -> str:
-    return f"WITH {PAGES}, {TOKENS}, {hits_sql(terms)}, {SCORED} SELECT {HIT_COLUMNS} FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE {condition} ORDER BY score DESC, p.page_ref LIMIT {limit}"
+    return f"WITH {PAGES}, {TOKENS}, {hits_sql(terms)}, {SCORED} SELECT {HIT_COLUMNS} FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE {condition} ORDER BY s.score DESC, p.page_ref LIMIT {limit}"
 
 
 def _search(spark: SparkSession, sf_dir: str, q: search.Query) -> DataFrame:
     view = pages(spark, sf_dir)
-    index = search.build_index(view) if q.text.strip() else None
+    index = search.build_index(view) if q.text.strip() or q.expression is not None else None
     return search.search(view, index, q)
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select("page_ref", "score", "title", "kind", "source_date", "git_date", "volatility")
+    return df.select("page_ref", F.round("score", 6).alias("score"), "title", "kind", "source_date", "git_date", "volatility")
 
 
 # ---- search
@@ -94,7 +94,7 @@ def search_or(spark, sf_dir):
 @query(f"""WITH {PAGES}, {TOKENS},
 pairs AS (SELECT page_ref, c, pos, term, lead(term) OVER (PARTITION BY page_ref, c ORDER BY pos) AS nxt FROM words),
 hits AS (SELECT 'of the' AS q, page_ref, {TF} AS tf FROM pairs WHERE term = 'of' AND nxt = 'the' GROUP BY page_ref), {SCORED}
-SELECT {HIT_COLUMNS} FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL ORDER BY score DESC, p.page_ref LIMIT 20""")
+SELECT {HIT_COLUMNS} FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL ORDER BY s.score DESC, p.page_ref LIMIT 20""")
 def search_phrase(spark, sf_dir):
     """S-10: adjacent tokens of one column."""
     return _hits(_search(spark, sf_dir, search.Query(text="of-the")))
@@ -106,10 +106,20 @@ def search_filtered(spark, sf_dir):
     return _hits(_search(spark, sf_dir, search.Query(text="the", tags_all=("en",), kinds=("concept", "entity"), volatility=("stable", "evolving"), since="2024-02-01", until="2024-11-30")))
 
 
-@query(f"WITH {PAGES}, {TOKENS}, {hits_sql(['the'])}, {SCORED} SELECT p.page_ref, score, array_to_string(tags, ',') AS tags FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL ORDER BY score DESC, p.page_ref LIMIT 50")
+@query(f"WITH {PAGES}, {TOKENS}, {hits_sql(['the'])}, {SCORED} SELECT p.page_ref, round(score, 6) AS score, array_to_string(tags, ',') AS tags FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL ORDER BY s.score DESC, p.page_ref LIMIT 50")
 def search_with_tags(spark, sf_dir):
     """J-03: tags with each hit."""
-    return _search(spark, sf_dir, search.Query(text="the", limit=50)).select("page_ref", "score", F.array_join("tags", ",").alias("tags"))
+    return _search(spark, sf_dir, search.Query(text="the", limit=50)).select("page_ref", F.round("score", 6).alias("score"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {PAGES}, {TOKENS},
+hits AS (SELECT 'title:the' AS q, page_ref, {TF} AS tf FROM words WHERE term = 'the' AND c = 'title' GROUP BY page_ref
+  UNION ALL SELECT 'tion*', page_ref, {TF} FROM words WHERE starts_with(term, 'tion') GROUP BY page_ref), {SCORED}
+SELECT {HIT_COLUMNS} FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL AND p.page_ref NOT IN (SELECT page_ref FROM words WHERE term = 'of') ORDER BY s.score DESC, p.page_ref LIMIT 20""")
+def search_expression(spark, sf_dir):
+    """S-09: a word of the title or a prefix anywhere, without the pages that have another word."""
+    either = search.Or((search.Phrase("the", columns=("title",)), search.Phrase("tion", prefix=True)))
+    return _hits(_search(spark, sf_dir, search.Query(expression=search.Not(either, search.Phrase("of")))))
 
 
 META = "page_ref, 0.0::DOUBLE AS score, title, kind, source_date, git_date, volatility"
@@ -193,16 +203,16 @@ asked AS (SELECT item_id, left(text, 60) AS title, list_distinct(regexp_extract_
 terms AS (SELECT item_id, unnest(terms) AS q FROM asked),
 hits AS (SELECT term AS q, page_ref, {TF} AS tf FROM words WHERE term IN (SELECT q FROM terms) GROUP BY term, page_ref),
 rated AS (SELECT q, avgdl, CASE WHEN ln((n - nq + 0.5) / (nq + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nq + 0.5) / (nq + 0.5)) END AS idf FROM (SELECT q, count(*) AS nq FROM hits GROUP BY q), corpus),
-scored AS (SELECT item_id, h.page_ref, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM hits h JOIN terms t ON h.q = t.q JOIN rated r ON h.q = r.q JOIN dls d ON h.page_ref = d.page_ref GROUP BY item_id, h.page_ref),
+scored AS (SELECT item_id, h.page_ref, sum(CAST(round(1e12 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS BIGINT)) / 1e12 AS score FROM hits h JOIN terms t ON h.q = t.q JOIN rated r ON h.q = r.q JOIN dls d ON h.page_ref = d.page_ref GROUP BY item_id, h.page_ref),
 ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.page_ref) AS rank, s.page_ref, score, p.title AS t1 FROM scored s JOIN pages p ON s.page_ref = p.page_ref WHERE superseded_by IS NULL)
-SELECT r.item_id AS query_id, CAST(rank AS INTEGER) AS rank, page_ref, score,
+SELECT r.item_id AS query_id, CAST(rank AS INTEGER) AS rank, page_ref, round(score, 6) AS score,
        CASE WHEN score >= 15 AND list_has_any(regexp_extract_all(lower(t1), '[a-z0-9]+'), regexp_extract_all(lower(a.title), '[a-z0-9]+')) THEN 'duplicate' WHEN score >= 15 THEN 'refines' WHEN score >= 5 THEN 'related' ELSE 'distinct' END AS hint
-FROM ranked r JOIN asked a ON r.item_id = a.item_id WHERE rank <= 10""")
+FROM ranked r JOIN asked a ON r.item_id = a.item_id WHERE rank <= 200""")
 def discover_batch(spark, sf_dir):
     """S-08, J-12, B-03, B-04, O-03: benchmark items as drafts, all in one job."""
     view = pages(spark, sf_dir)
     drafts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("title"), fn.discovery_terms("text").alias("terms"))
-    return search.discover(view, search.build_index(view), drafts, limit=10)
+    return search.discover(view, search.build_index(view), drafts).withColumn("score", F.round("score", 6))
 
 
 # ---- scalar functions
@@ -229,11 +239,11 @@ def placement(spark, sf_dir):
     return view.select("page_ref", fn.place("kind", "title").alias("placed"), fn.kind_of("page_ref").alias("kind_of_ref"))
 
 
-SPELLED = "CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN d || 'T10:30' WHEN 2 THEN ' ' || d || ' 10:30:59.5Z ' WHEN 3 THEN d || 'T10:30+0200' WHEN 4 THEN 'summer ' || left(d, 4) ELSE left(d, 4) || '-02-30' END"
+SPELLED = "CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN d || 'T10:30' WHEN 2 THEN ' ' || d || ' 10:30:59.5Z ' WHEN 3 THEN d || CASE WHEN o_orderkey % 4 = 1 THEN 'T10:30z' ELSE 'T10:30+0200' END WHEN 4 THEN 'summer ' || left(d, 4) ELSE left(d, 4) || '-02-30' END"
 
 
 @query(f"""WITH s AS (SELECT o_orderkey, {SPELLED} AS spelled FROM (SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d FROM orders)),
-m AS (SELECT *, regexp_extract(trim(spelled), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})(?:[T ]\\d{{2}}:\\d{{2}}(?::\\d{{2}}(?:\\.\\d+)?)?(?:Z|[+-]\\d{{2}}:?\\d{{2}})?)?$', 1) AS day FROM s)
+m AS (SELECT *, regexp_extract(trim(spelled), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})(?:[T ]\\d{{2}}:\\d{{2}}(?::\\d{{2}}(?:\\.\\d+)?)?(?:[Zz]|[+-]\\d{{2}}:?\\d{{2}})?)?$', 1) AS day FROM s)
 SELECT o_orderkey, CASE WHEN try_cast(nullif(day, '') AS DATE) IS NOT NULL THEN day END AS canonical, coalesce(CASE WHEN try_cast(nullif(day, '') AS DATE) IS NOT NULL THEN day END, spelled) AS tolerant FROM m""")
 def canonical_date(spark, sf_dir):
     """S-14 and the tolerant posture, on spellings of order dates."""
@@ -307,14 +317,32 @@ def currency_rewrite(spark, sf_dir):
 
 @query(f"""WITH {PAGES},
 ways AS (SELECT src AS a, dst AS b FROM edges WHERE key <> 'source' UNION SELECT dst, src FROM edges WHERE key <> 'source'),
-seeds AS (SELECT page_ref AS seed FROM pages WHERE doc_id % 7 = 0),
+seeds AS (SELECT page_ref AS seed FROM pages),
 h1 AS (SELECT DISTINCT seed, b AS page_ref FROM seeds JOIN ways ON seed = a),
 h2 AS (SELECT DISTINCT seed, b AS page_ref FROM h1 JOIN ways ON page_ref = a)
 SELECT seed, page_ref, min(hop) AS hop FROM (SELECT seed, seed AS page_ref, 0 AS hop FROM seeds UNION ALL SELECT seed, page_ref, 1 FROM h1 UNION ALL SELECT seed, page_ref, 2 FROM h2) GROUP BY seed, page_ref""")
 def neighbors_two_hop(spark, sf_dir):
-    """G-06, G-07: from every seventh page, as seeds of the question."""
+    """G-06, G-07: from every page."""
+    view = pages(spark, sf_dir)
+    return graph.neighbours(view.select(F.col("page_ref").alias("seed")), edges(view))
+
+
+@query(f"""WITH RECURSIVE {PAGES},
+step AS (SELECT dst AS src, min(src) AS nxt FROM edges WHERE key = 'supersedes' GROUP BY dst),
+walk(seed, chain) AS (SELECT page_ref, [page_ref] FROM pages UNION ALL SELECT seed, list_append(chain, nxt) FROM walk JOIN step ON chain[-1] = step.src)
+SELECT seed, max_by(chain[-1], len(chain)) AS active, array_to_string(max_by(chain, len(chain)), ' ') AS chain FROM walk GROUP BY seed""")
+def supersession_paths(spark, sf_dir):
+    """G-04: every page's chain, page by page."""
+    view = pages(spark, sf_dir)
+    successors = edges(view).where("key = 'supersedes'").select(F.col("dst").alias("src"), F.col("src").alias("nxt"))
+    return graph.paths(view.select(F.col("page_ref").alias("seed")), successors).withColumn("chain", F.array_join("chain", " "))
+
+
+@query(f"WITH {PAGES} SELECT p.page_ref AS seed, p.page_ref, 0 AS hop FROM pages p UNION ALL SELECT DISTINCT dst, src, 1 FROM edges JOIN pages p ON p.page_ref = dst WHERE key = 'refines'")
+def question_shape(spark, sf_dir):
+    """G-06: what refines each page."""
     view = pages(spark, sf_dir)
-    return graph.neighbours(view.where("doc_id % 7 = 0").select(F.col("page_ref").alias("seed")), edges(view))
+    return graph.answers(view.select(F.col("page_ref").alias("seed")), edges(view), "what refines it")
 
 
 @query(f"WITH {PAGES} SELECT s.src AS page_ref, s.dst AS stub, r.dst AS raw FROM edges s JOIN edges r ON s.dst = r.src WHERE s.key = 'source' AND r.key = 'raw_source'")
@@ -479,52 +507,71 @@ def delta_equals_rebuild(spark, sf_dir):
 
 
 def _markdown(view: DataFrame) -> DataFrame:
-    """(page_ref, text): the page view as markdown with frontmatter and a link in the body."""
+    """(doc_id, page_ref, text): the page view as markdown: frontmatter with all typed edges, a
+    link in a code block, a link, and the whole text."""
     folder = F.regexp_extract("page_ref", "^(.*)/[^/]*$", 1)
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    listed = edges(view).groupBy("src", "key").agg(F.sort_array(F.collect_list("dst")).alias("dsts")).groupBy(F.col("src").alias("page_ref")).agg(F.map_from_entries(F.collect_list(F.struct("key", "dsts"))).alias("e"))
+    met = view.join(listed, "page_ref", "left")
+
+    def linked(key: str):
+        each = F.transform(F.col("e")[key], lambda d: F.concat(F.lit('"'), fn.compose_link(F.lit("t"), d, folder), F.lit('"')))
+        if key == "raw_source":
+            return F.concat(F.lit("raw_source: "), F.get(each, F.lit(0)))
+        return F.concat(F.lit(f"{key}:\n  - "), F.array_join(each, "\n  - "))
+
     lines = F.concat_ws(
         "\n",
         F.lit("---"),
         F.concat(F.lit("title: "), quoted("title")),
+        F.concat(F.lit("summary: "), quoted("summary")),
         F.concat(F.lit("tags: "), F.to_json("tags")),
         F.when(F.col("source_date") != "", F.concat(F.lit("source_date: "), "source_date")),
         F.concat(F.lit("volatility: "), "volatility"),
-        F.when(F.col("supersedes").isNotNull(), F.concat(F.lit('supersedes:\n  - "'), fn.compose_link(F.lit("old"), "supersedes", folder), F.lit('"'))),
+        *[linked(k) for k in graph.EDGE_KEYS],
         F.lit("---"),
-        F.concat(F.lit("See "), fn.compose_link(F.lit("next"), page_ref(F.col("doc_id") + 1), folder), F.lit(".")),
+        F.lit("```\n[no link](none.md)\n```"),
+        F.concat(F.lit("See "), fn.compose_link(F.lit("next"), page_ref(F.col("doc_id") + 1), folder), F.lit(".\n")),
+        F.col("body"),
     )
-    return view.select("doc_id", "page_ref", lines.alias("text"))
+    return met.select("doc_id", "page_ref", lines.alias("text"))
 
 
-@query(f"WITH {PAGES} SELECT page_ref, kind, title, array_to_string(tags, ',') AS tags, source_date, volatility FROM pages")
+@query(f"WITH {PAGES} SELECT page_ref, kind, title, summary, array_to_string(tags, ',') AS tags, source_date, volatility, md5(body) AS body FROM pages")
 def page_records(spark, sf_dir):
-    """P-01 to P-03: records parsed from markdown."""
+    """P-01 to P-03: records parsed from markdown, with their whole bodies."""
     parsed = files.records(_markdown(pages(spark, sf_dir)).drop("doc_id"))
-    return parsed.select("page_ref", "kind", "title", F.array_join("tags", ",").alias("tags"), "source_date", "volatility")
+    own = F.md5(F.regexp_replace("body", r"(?s)\A```\n.*?\n```\n[^\n]*\n\n", ""))
+    return parsed.select("page_ref", "kind", "title", "summary", F.array_join("tags", ",").alias("tags"), "source_date", "volatility", own.alias("body"))
 
 
-@query(f"WITH {PAGES} SELECT src, key, dst FROM edges WHERE key = 'supersedes'")
+@query(f"WITH {PAGES} SELECT src, key, dst FROM edges")
 def record_edges(spark, sf_dir):
-    """P-04, P-05, P-07, P-08: typed edges from links in the frontmatter."""
+    """P-04, P-05, P-07, P-08: typed edges of every key from links in the frontmatter."""
     return files.record_edges(files.records(_markdown(pages(spark, sf_dir)).drop("doc_id"))).select("src", "key", "dst")
 
 
-@query(f"WITH {PAGES} SELECT page_ref, {sql_ref('doc_id + 1')} AS target, CAST(5 + (source_date <> '')::INT + 2 * (supersedes IS NOT NULL)::INT AS INTEGER) AS line FROM pages")
+@query(f"""WITH {PAGES}, own AS (SELECT src, count(DISTINCT key) FILTER (key <> 'raw_source') + count(*) AS lines FROM edges WHERE key <> 'raw_source' GROUP BY src)
+SELECT page_ref, {sql_ref('doc_id + 1')} AS target, CAST(9 + (source_date <> '')::INT + (raw_source IS NOT NULL)::INT + coalesce(lines, 0) AS INTEGER) AS line, CAST(coalesce(lines - (SELECT count(DISTINCT key) FROM edges e WHERE e.src = page_ref AND key <> 'raw_source'), 0) + (raw_source IS NOT NULL)::INT + 1 AS BIGINT) AS links FROM pages LEFT JOIN own ON src = page_ref""")
 def link_scan(spark, sf_dir):
-    """P-05, P-08, S-19: the links of bodies, resolved, with their lines."""
+    """P-05, P-08, S-19: the links of whole pages; of bodies the last, resolved, with its line;
+    those in code don't count."""
     scanned = _markdown(pages(spark, sf_dir)).select("page_ref", F.explode(links.links_of("text")).alias("l"))
     folder = F.regexp_extract("page_ref", "^(.*)/[^/]*$", 1)
     last = F.max_by(F.struct(fn.resolve_path(F.col("l.path"), folder).alias("target"), F.col("l.line").alias("line")), "l.start")
-    return scanned.groupBy("page_ref").agg(last.alias("x")).select("page_ref", "x.target", F.col("x.line").cast("int").alias("line"))
+    return scanned.groupBy("page_ref").agg(last.alias("x"), F.count("*").alias("links")).select("page_ref", "x.target", F.col("x.line").cast("int").alias("line"), "links")
 
 
-@query(f"WITH {PAGES}, m AS (SELECT min(page_ref) AS old FROM pages WHERE doc_id % 4 = 1) SELECT CASE WHEN page_ref = old THEN 'wiki/moved/new (1).md' ELSE page_ref END AS page_ref, CASE WHEN {sql_ref('doc_id + 1')} = old THEN 'See [next](../moved/new%20%281%29.md).' ELSE 'See [next](../' || substr({sql_ref('doc_id + 1')}, 6) || ').' END AS body FROM pages, m")
+@query(f"""WITH {PAGES}, m AS (SELECT min(page_ref) AS old FROM pages WHERE doc_id % 4 = 1),
+b AS (SELECT page_ref, CASE WHEN {sql_ref('doc_id + 1')} = old THEN 'See [next](../moved/new%20%281%29.md).' ELSE 'See [next](../' || substr({sql_ref('doc_id + 1')}, 6) || ').' END AS see, body, old FROM pages, m)
+SELECT CASE WHEN page_ref = old THEN 'wiki/moved/new (1).md' ELSE page_ref END AS page_ref, see, md5(body) AS body FROM b""")
 def move_retarget(spark, sf_dir):
-    """G-11, G-12: a page moves, and links at it follow."""
+    """G-11, G-12: a page moves, and links at it follow; the rest of each text stays."""
     md = _markdown(pages(spark, sf_dir))
     old = md.where("doc_id % 4 = 1").agg(F.min("page_ref")).first()[0]
-    moved = links.move(md.select("page_ref", "text"), old, "wiki/moved/new (1).md")
-    return moved.select("page_ref", fn.body("text").alias("body"))
+    moved = links.move(md.select("page_ref", "text"), old, "wiki/moved/new (1).md").withColumn("body", fn.body("text"))
+    head = r"(?s)\A```\n\[no link\]\(none.md\)\n```\n([^\n]*)\n\n"
+    return moved.select("page_ref", F.regexp_extract("body", head, 1).alias("see"), F.md5(F.regexp_replace("body", head, "")).alias("body"))
 
 
 @query()
@@ -537,29 +584,52 @@ def search_stemmed(spark, sf_dir):
     return stemming.with_snippets(met, ["things"]).select("page_ref", "score", "snippet")
 
 
-PLAN_ROWS = """SELECT doc_id AS plan_id, CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'create' ELSE 'drop' END AS op, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'T ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN doc_id % 6 < 3 THEN 'concept' WHEN doc_id % 6 = 3 THEN 'thing' ELSE '' END AS kind, CASE WHEN doc_id % 7 = 0 THEN '2024-02-30' ELSE '2024-02-03T10:00' END AS source_date FROM documents"""
+PLAN_ROWS = """SELECT doc_id AS plan_id, CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'create' ELSE 'drop' END AS op, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'T ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN doc_id % 6 < 3 THEN 'concept' WHEN doc_id % 6 = 3 THEN 'thing' ELSE '' END AS kind, CASE WHEN doc_id % 7 = 0 THEN '2024-02-30' ELSE '2024-02-03T10:00z' END AS source_date FROM documents"""
 
 
 @query(f"""WITH p AS ({PLAN_ROWS}),
-e AS (SELECT plan_id, CASE WHEN op = 'drop' THEN ['pages[0].op must be ''create'' or ''update'''] ELSE list_filter([
-  CASE WHEN op = 'create' AND kind = 'thing' THEN 'pages[0].kind is not a valid kind' END,
-  CASE WHEN op = 'create' AND kind = '' THEN 'pages[0].kind is required for op=create' END,
-  CASE WHEN op = 'update' AND kind <> '' THEN 'pages[0].kind must not be set for op=update' END,
-  CASE WHEN op = 'update' THEN 'pages[0].page_ref is required for op=update' END,
-  CASE WHEN title = '' THEN 'pages[0].title is required' END,
-  CASE WHEN source_date = '2024-02-30' THEN 'pages[0].frontmatter.source_date must be a valid date' END], lambda x: x IS NOT NULL) END AS errors FROM p)
+e AS (SELECT plan_id, CASE WHEN op = 'drop' THEN ['page 0: op that is neither create nor update'] ELSE list_filter([
+  CASE WHEN op = 'create' AND kind = 'thing' THEN 'page 0: new page of an unknown kind' END,
+  CASE WHEN op = 'create' AND kind = '' THEN 'page 0: new page without a kind' END,
+  CASE WHEN op = 'update' AND kind <> '' THEN 'page 0: update that gives a kind' END,
+  CASE WHEN op = 'update' THEN 'page 0: update that names no page' END,
+  CASE WHEN title = '' THEN 'page 0: page without a title' END,
+  CASE WHEN source_date = '2024-02-30' THEN 'page 0: source_date that is no date' END], lambda x: x IS NOT NULL) END AS errors FROM p)
 SELECT plan_id, array_to_string(list_sort(errors), '; ') AS errors FROM e WHERE len(errors) > 0""")
 def plan_errors(spark, sf_dir):
-    """I-04, A-10, R-15: a plan in JSON for each document, with its errors."""
+    """I-04, R-15: a plan in JSON for each document, with what is wrong with its page by itself."""
     sql = PLAN_ROWS.replace("VARCHAR", "STRING").removesuffix(" FROM documents").removeprefix("SELECT ")
     p = table(spark, sf_dir, "documents").select(F.expr(f"named_struct({_named_struct(sql)})").alias("p")).select("p.*")
-    fields = F.map_from_arrays(F.array(F.lit("source_date")), F.array("source_date"))
-    page = F.struct("op", "title", "kind", F.lit("body").alias("body"), fields.alias("frontmatter"))
+    page = F.struct("op", "title", "kind", F.lit("body").alias("body"), F.struct("source_date").alias("frontmatter"))
     plans = p.select("plan_id", F.to_json(F.struct(F.lit("t").alias("title"), F.array(page).alias("pages"))).alias("value"))
     each = ingest.planned_pages(ingest.decode(plans)).select("plan_id", F.array_sort(ingest.shape_errors()).alias("e")).where("size(e) > 0")
     return each.select("plan_id", F.array_join("e", "; ").alias("errors"))
 
 
+@query(f"""WITH {PAGES},
+p AS (SELECT doc_id AS plan_id, CASE doc_id % 3 WHEN 0 THEN 'wiki/concepts/t-' || CAST(doc_id AS VARCHAR) || '.md' WHEN 1 THEN {sql_ref('doc_id')} ELSE 'wiki/concepts/none-' || CAST(doc_id AS VARCHAR) || '.md' END AS target, doc_id % 3 = 2 AS missing, {sql_ref('doc_id + 1')} AS edge, doc_id % 4 = 0 AS has_raw FROM documents),
+e AS (SELECT plan_id, list_filter([
+  CASE WHEN has_raw THEN 'no page of the plan is the source of its raw file' END,
+  CASE WHEN edge NOT IN (SELECT page_ref FROM pages) THEN 'page 0: edge to no page: ' || edge END,
+  CASE WHEN missing THEN 'page 0: there is no page: ' || target END], lambda x: x IS NOT NULL) AS errors FROM p)
+SELECT plan_id, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0""")
+def plan_problems(spark, sf_dir):
+    """I-05, J-09, A-10, G-10: plans that need other pages: targets, edges and evidence."""
+    i = F.col("doc_id")
+    number = i.cast("string")
+    page = F.struct(
+        F.when(i % 3 == 0, "create").otherwise("update").alias("op"),
+        F.concat(F.lit("T "), number).alias("title"),
+        F.when(i % 3 == 0, "concept").alias("kind"),
+        F.when(i % 3 == 1, page_ref(i)).when(i % 3 == 2, F.concat(F.lit("wiki/concepts/none-"), number, F.lit(".md"))).alias("page_ref"),
+        F.lit("b").alias("body"),
+        F.struct(F.array(page_ref(i + 1)).alias("related")).alias("edges"),
+    )
+    plan = F.struct(F.lit("t").alias("title"), F.when(i % 4 == 0, "raw/x.txt").alias("raw"), F.array(page).alias("pages"))
+    plans = table(spark, sf_dir, "documents").select(i.alias("plan_id"), F.to_json(plan).alias("value"))
+    return ingest.errors(ingest.decode(plans), pages(spark, sf_dir).select("page_ref", "title"))
+
+
 def _named_struct(select: str) -> str:
     """A select list's ``x AS n, ...`` as ``'n', x, ...``."""
     names = ("plan_id", "op", "title", "kind", "source_date")

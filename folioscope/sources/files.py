@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ignore_pattern, is_page_ref
-from ..functions.yamlcore import frontmatter_json
+from ..functions.yamlcore import with_frontmatter
 from ..operators.rawsweep import SKIPPED
 
 
@@ -30,6 +30,14 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     return named.where(~F.element_at(F.split("raw_rel", "/"), -1).isin(*SKIPPED))
 
 
+def raw_stream(spark: SparkSession, root: str) -> DataFrame:
+    """W-01: a stream of (rel, ts) of files below ``raw``, by the time of their last change."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(f"{root}/raw")
+    named = found.select(_below(root, F.col("path")).alias("rel"), F.col("modificationTime").alias("ts"))
+    return named.where(~F.element_at(F.split("rel", "/"), -1).isin(*SKIPPED))
+
+
 def policies(spark: SparkSession, root: str) -> DataFrame:
     """R-17, F-10: (folder, pattern) of the policy files below ``raw``.
 
@@ -62,7 +70,7 @@ def records(pages: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
     DROPMALFORMED leaves out pages whose YAML is invalid; FAILFAST stops at one."""
     from ..functions.columns import body, kind_of, tolerant_date
 
-    parsed = pages.withColumn("json", frontmatter_json("text"))
+    parsed = with_frontmatter(pages)
     if mode == "FAILFAST":
         parsed = parsed.withColumn("json", F.when(F.col("json").isNull(), F.raise_error(F.concat(F.lit("invalid frontmatter: "), "page_ref"))).otherwise(F.col("json")))
     good = parsed.where("json IS NOT NULL")

@@ -1,14 +1,19 @@
-"""The change feed of a git repository as a Python data source, batch and streaming.
+"""The change feed of a git repository as Python data sources, batch and streaming.
 
 ``spark.dataSource.register(GitPages)`` then ``spark.read.format("git_pages")``
 with options ``root`` (a path every executor reaches), ``since`` (a commit, or none
 for all pages) gives (page_ref, date, content, deleted) as of HEAD.  As a stream,
 the offset is the commit last seen.  Only names and dates are listed where the plan
 is made; contents are read by the tasks, each a share of the paths.
+
+``git_raw`` gives (raw_rel, date, dirty) rows of the raw files: one for each commit of
+each file, and one for each file that differs from HEAD.  A task has a folder of
+``raw``; where the plan is made only these folders are named.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from datetime import UTC, datetime
@@ -18,8 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 _PAGE = re.compile(r"^wiki/[^/]*/[^/]*\.md$")
 
 
-def _git(root: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-c", "core.quotePath=false", "-C", root, *args], capture_output=True, check=True).stdout
+def _git(root: str, *args: str, asked: bytes | None = None) -> bytes:
+    run = ["git", "-c", "core.quotePath=false", "-C", root, *args]
+    return subprocess.run(run, input=asked, capture_output=True, check=True, env={**os.environ, "TZ": "UTC"}).stdout
 
 
 def head(root: str) -> str:
@@ -38,7 +44,8 @@ def is_work_tree(root: str) -> bool:
         return False
 
 
-def _known(root: str, sha: str) -> bool:
+def known(root: str, sha: str) -> bool:
+    """Whether a commit is there to walk from."""
     return bool(sha) and subprocess.run(["git", "-C", root, "cat-file", "-e", f"{sha}^{{commit}}"], capture_output=True).returncode == 0
 
 
@@ -64,7 +71,7 @@ def shares(root: str, commit: str, since: str, size: int = 500) -> list[Share]:
     """R-05, R-06: all pages, or those touched by what HEAD has and ``since`` lacks."""
     if not commit:
         return []
-    if _known(root, since):
+    if known(root, since):
         dated = dates(root, f"{since}..{commit}")
         touched = {p for p in _git(root, "diff", "--name-only", "--no-renames", since, commit).decode().splitlines() if _PAGE.match(p)}
         paths = sorted({p: dated.get(p, "") for p in touched | dated.keys()}.items())
@@ -75,10 +82,18 @@ def shares(root: str, commit: str, since: str, size: int = 500) -> list[Share]:
 
 
 def rows(share: Share):
+    """A share's pages, by one git process: what is asked for is told in that order."""
+    told = _git(share.root, "cat-file", "--batch", asked="".join(f"{share.commit}:{p}\n" for p, _ in share.paths).encode())
+    at = 0
     for path, date in share.paths:
-        found = subprocess.run(["git", "-C", share.root, "show", f"{share.commit}:{path}"], capture_output=True)
-        gone = found.returncode != 0
-        yield path, date, None if gone else found.stdout.decode("utf-8", "replace"), gone
+        end = told.index(b"\n", at)
+        line, at = told[at:end], end + 1
+        if line.endswith(b" missing"):
+            yield path, date, None, True
+        else:
+            size = int(line.rsplit(b" ", 1)[1])
+            yield path, date, told[at : at + size].decode("utf-8", "replace"), False
+            at += size + 1
 
 
 class _Batch(DataSourceReader):
@@ -122,3 +137,51 @@ class GitPages(DataSource):
 
     def streamReader(self, schema):
         return _Stream(self.options)
+
+
+class Folder(InputPartition):
+    def __init__(self, spec: str):
+        super().__init__(0)
+        self.spec = spec
+
+
+class _Raw(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["root"]
+
+    def partitions(self):
+        raw = os.path.join(self.root, "raw")
+        below = sorted(d.name for d in os.scandir(raw) if d.is_dir()) if os.path.isdir(raw) else []
+        # Of folders that are gone only the history knows; their files are no candidates.
+        return [Folder(":(glob)raw/*"), *(Folder(f":(literal)raw/{name}") for name in below)]
+
+    def read(self, partition):
+        if not isinstance(partition, Folder) or not head(self.root):
+            return
+        # R-08: merges count too, each against every parent.
+        at = ""
+        for entry in _git(self.root, "log", "-z", "-m", "--format=%x01%ad", "--date=format-local:%Y-%m-%d", "--name-only", "--", partition.spec).decode("utf-8", "replace").split("\0"):
+            for line in entry.lstrip("\n").split("\n\n") if entry.startswith("\x01") else [entry.lstrip("\n")]:
+                if line.startswith("\x01"):
+                    at = line[1:].strip()
+                elif line:
+                    yield line, at, False
+        # R-09: a line is two letters, a space and the path; of a rename the old path follows.
+        told = iter(_git(self.root, "status", "--porcelain", "-z", "-uall", "--", partition.spec).decode("utf-8", "replace").split("\0"))
+        for entry in told:
+            if entry:
+                yield entry[3:], None, True
+                if entry[0] in "RC":
+                    yield next(told), None, True
+
+
+class GitRaw(DataSource):
+    @classmethod
+    def name(cls):
+        return "git_raw"
+
+    def schema(self):
+        return "raw_rel string, date string, dirty boolean"
+
+    def reader(self, schema):
+        return _Raw(self.options)

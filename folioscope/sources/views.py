@@ -24,7 +24,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     same = Window.partitionBy("h").orderBy("doc_id")
     folder_kind = F.element_at(F.array(*[F.lit(k) for k in FOLDERS]), (i % 4 + 1).cast("int"))
-    base = d.withColumn("h", F.sha2("text", 256)).withColumns({"prev": F.lag("doc_id").over(same), "next": F.lead("doc_id").over(same)}).join(labels, "doc_id", "left")
+    # Texts stay where they are: only ids and hashes are ordered, and only copies come back.
+    copies = d.select("doc_id", F.sha2("text", 256).alias("h")).withColumns({"prev": F.lag("doc_id").over(same), "next": F.lead("doc_id").over(same)})
+    copies = copies.where("prev IS NOT NULL OR next IS NOT NULL").select("doc_id", "prev", "next")
+    base = d.join(copies, "doc_id", "left").join(labels, "doc_id", "left")
     quality = F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string")))
     day = lambda start, n: F.date_format(F.date_add(F.to_date(F.lit(start)), (i % n).cast("int")), "yyyy-MM-dd")
     return base.select(
@@ -53,6 +56,9 @@ def edges(view: DataFrame) -> DataFrame:
         F.struct(F.lit("supersedes").alias("key"), F.lit(0).alias("ord"), F.col("supersedes").alias("dst")),
         F.struct(F.lit("source").alias("key"), F.lit(0).alias("ord"), F.when(i % 4 == 0, page_ref(i + 2)).alias("dst")),
         F.struct(F.lit("related").alias("key"), F.lit(0).alias("ord"), F.when(i % 3 == 0, page_ref(i + 1)).alias("dst")),
+        F.struct(F.lit("refines").alias("key"), F.lit(0).alias("ord"), F.when(i % 7 == 0, page_ref(i + 3)).alias("dst")),
+        F.struct(F.lit("contradicts").alias("key"), F.lit(0).alias("ord"), F.when(i % 11 == 0, page_ref(i + 4)).alias("dst")),
+        F.struct(F.lit("example-of").alias("key"), F.lit(0).alias("ord"), F.when(i % 13 == 0, page_ref(i + 5)).alias("dst")),
     )
     each = view.select(F.col("page_ref").alias("src"), F.explode(keys).alias("e")).select("src", "e.*")
     return each.where("dst IS NOT NULL")
@@ -76,7 +82,10 @@ edges AS (
   SELECT page_ref AS src, 'raw_source' AS key, raw_source AS dst FROM pages WHERE raw_source IS NOT NULL
   UNION ALL SELECT page_ref, 'supersedes', supersedes FROM pages WHERE supersedes IS NOT NULL
   UNION ALL SELECT page_ref, 'source', ref(doc_id + 2) FROM pages WHERE doc_id % 4 = 0
-  UNION ALL SELECT page_ref, 'related', ref(doc_id + 1) FROM pages WHERE doc_id % 3 = 0)
+  UNION ALL SELECT page_ref, 'related', ref(doc_id + 1) FROM pages WHERE doc_id % 3 = 0
+  UNION ALL SELECT page_ref, 'refines', ref(doc_id + 3) FROM pages WHERE doc_id % 7 = 0
+  UNION ALL SELECT page_ref, 'contradicts', ref(doc_id + 4) FROM pages WHERE doc_id % 11 = 0
+  UNION ALL SELECT page_ref, 'example-of', ref(doc_id + 5) FROM pages WHERE doc_id % 13 = 0)
 """
 
 
@@ -88,6 +97,6 @@ def sql_ref(x: str) -> str:
 def pages_sql() -> str:
     """The CTEs base, pages and edges in DuckDB's SQL."""
     out = PAGES_SQL
-    for x in ("doc_id + 2", "doc_id + 1", "doc_id", "prev", "nxt"):
+    for x in ("doc_id + 5", "doc_id + 4", "doc_id + 3", "doc_id + 2", "doc_id + 1", "doc_id", "prev", "nxt"):
         out = out.replace(f"ref({x})", sql_ref(x))
     return out

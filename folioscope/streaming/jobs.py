@@ -40,9 +40,18 @@ def watch(settled: DataFrame, sweep: Callable[[], DataFrame], queue: str, checkp
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
 
 
-def remove(spark: SparkSession, queue: str, done: DataFrame, to: str) -> None:
-    """K-09: the queue without the files done, as a new version."""
-    spark.read.parquet(queue).join(done.select("rel"), "rel", "left_anti").write.parquet(to)
+def remove(spark: SparkSession, queue: str, done: DataFrame) -> None:
+    """K-09: take the files done, all occurrences, out of the queue.
+
+    What stays is written beside the queue and then takes its name; a watch that appends
+    meanwhile must be stopped first, as a queue has one writer."""
+    rest = f"{queue}.rest"
+    spark.read.parquet(queue).join(done.select("rel"), "rel", "left_anti").write.mode("overwrite").parquet(rest)
+    fs, here = _fs(spark, queue)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.rename(here, path(f"{queue}.old"))
+    fs.rename(path(rest), here)
+    fs.delete(path(f"{queue}.old"), True)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -5,7 +5,8 @@ import subprocess
 
 import pytest
 
-from folioscope.engine import Engine, as_document, as_json_lines
+from folioscope.engine import Engine, append_calls, as_document, as_json_lines
+from folioscope.operators import stored
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +16,9 @@ def engine(spark, tmp_path_factory):
     e.init()
     (root / "raw/n").mkdir()
     for p, t in (
-        ("wiki/sources/s.md", "---\ntitle: Stub\ntags: [x]\nraw_source: '[r](../../raw/n/r.txt)'\n---\nThe pool.\n"),
-        ("wiki/concepts/a.md", "---\ntitle: Old pooling\ntags: [x, y]\n---\nPools of connections.\n"),
-        ("wiki/concepts/b.md", "---\ntitle: New pooling\nsupersedes:\n  - '[a](a.md)'\nsource:\n  - '[s](../sources/s.md)'\n---\nA pool of connections, see [a](a.md).\n"),
+        ("wiki/sources/s.md", "---\ntitle: Stub\ntags: [x]\nraw_source: '[r](../../raw/n/r.txt)'\n---\nThe weave.\n"),
+        ("wiki/concepts/a.md", "---\ntitle: Old weaving\ntags: [x, y]\n---\nWeaves of threads.\n"),
+        ("wiki/concepts/b.md", "---\ntitle: New weaving\nsupersedes:\n  - '[a](a.md)'\nsource:\n  - '[s](../sources/s.md)'\n---\nA weave of threads, see [a](a.md).\n"),
         ("raw/n/r.txt", "r"),
         ("raw/n/new.txt", "n"),
         ("raw/n/x.tmp", "t"),
@@ -31,22 +32,33 @@ def engine(spark, tmp_path_factory):
 
 
 def test_search(engine):
-    hits = engine.search(text="pool")
+    hits = engine.search(text="weave")
     rows = hits.collect()
-    assert [r.page_ref for r in rows] == ["wiki/concepts/b.md", "wiki/sources/s.md"] and rows[0].git_date == "2024-05-06" and "pool" in rows[0].snippet
-    assert [r.page_ref for r in engine.search(text="pool", include_superseded=True).collect()][-1] == "wiki/sources/s.md"
+    assert [r.page_ref for r in rows] == ["wiki/concepts/b.md", "wiki/sources/s.md"] and rows[0].git_date == "2024-05-06" and "weave" in rows[0].snippet
+    assert [r.page_ref for r in engine.search(text="weave", include_superseded=True).collect()][-1] == "wiki/sources/s.md"
     assert json.loads(as_json_lines(engine.search(kinds=("source",))).first().value)["snippet"] is None
     assert json.loads(as_document(engine.vocabulary()))[0] == {"tag": "x", "n": 2}
-    drafts = engine.spark.createDataFrame([(1, "Pooling", "", "connections")], "query_id int, title string, summary string, body string")
+    drafts = engine.spark.createDataFrame([(1, "Weaveing", "", "threads")], "query_id int, title string, summary string, body string")
     assert engine.discover(drafts).first().page_ref == "wiki/concepts/b.md"
-    assert engine.status().first().asDict() == {"pages": 3, "on_disk": 3, "behind": 0}
+    status = engine.status().first().asDict()
+    assert {k: status[k] for k in ("pages", "on_disk", "behind", "backend")} == {"pages": 3, "on_disk": 3, "behind": 0, "backend": "none"} and len(status["head"]) == 40
 
 
 def test_chain_and_page(engine):
     assert [(r.seed, r.active) for r in engine.resolve(["wiki/concepts/a.md"]).collect()] == [("wiki/concepts/a.md", "wiki/concepts/b.md")]
-    assert json.loads(engine.read_page("wiki/concepts/a.md", as_json=True)) == {"page_ref": "wiki/concepts/a.md", "frontmatter": {"title": "Old pooling", "tags": ["x", "y"]}, "body": "Pools of connections.\n"}
+    assert json.loads(engine.read_page("wiki/concepts/a.md", as_json=True)) == {"page_ref": "wiki/concepts/a.md", "frontmatter": {"title": "Old weaving", "tags": ["x", "y"]}, "body": "Weaves of threads.\n"}
+    assert engine.resolve(["wiki/concepts/a.md"]).first().chain == ["wiki/concepts/a.md", "wiki/concepts/b.md"]
     with pytest.raises(ValueError):
         engine.read_page("wiki/concepts/none.md")
+    assert engine.page_get("wiki/concepts/a.md", "tags") == ["x", "y"] and engine.page_get("wiki/concepts/a.md", "none") is None
+    before = engine.read_page("wiki/concepts/a.md")
+    engine.page_set("wiki/concepts/a.md", "source_date", "2024-02-03T10:00z")
+    engine.page_merge("wiki/concepts/a.md", "tags", ["y", "z"])
+    assert engine.page_get("wiki/concepts/a.md") == {"title": "Old weaving", "tags": ["x", "y", "z"], "source_date": "2024-02-03"}
+    assert engine.read_page("wiki/concepts/a.md").endswith("---\nWeaves of threads.\n")
+    with pytest.raises(ValueError, match="not a date"):
+        engine.page_set("wiki/concepts/a.md", "source_date", "2024-02-30")
+    engine._rewrite("wiki/concepts/a.md", before)
 
 
 def test_sweep(engine):
@@ -57,12 +69,50 @@ def test_plan_commit_and_move(engine):
     plan = {"title": "T", "pages": [{"op": "create", "title": "Fresh page", "kind": "entity", "body": "x\n", "edges": [{"key": "related", "targets": ["wiki/concepts/b.md"]}]}]}
     assert [r.line for r in engine.ingest(json.dumps(plan), dry_run=True).collect()] == ["create wiki/entities/fresh-page.md"]
     sha = engine.commit(engine.ingest(json.dumps(plan)))
-    assert len(sha) == 40 and '"[New pooling](../concepts/b.md)"' in engine.read_page("wiki/entities/fresh-page.md")
-    with pytest.raises(ValueError, match="target exists"):
+    assert len(sha) == 40 and '"[New weaving](../concepts/b.md)"' in engine.read_page("wiki/entities/fresh-page.md")
+    with pytest.raises(ValueError, match="target is taken"):
         engine.ingest(json.dumps(plan))
     changed = engine.move("wiki/concepts/a.md", "wiki/synthesis/c d.md")
     assert changed == ["wiki/concepts/b.md", "wiki/synthesis/c d.md"]
     assert "see [a](../synthesis/c%20d.md)" in engine.read_page("wiki/concepts/b.md")
     with pytest.raises(ValueError):
         engine.move("wiki/concepts/b.md", "wiki/synthesis/c d.md")
-    assert engine.kinds() == [] and engine.place("concept", "A b") == "wiki/concepts/a-b.md"
+    assert engine.kinds() == {} and engine.place("concept", "A b") == "wiki/concepts/a-b.md"
+
+
+def test_a_stored_index_is_a_search_without_one(engine, tmp_path):
+    """By deltas, over several segments, merged, walked again and built anew."""
+    root, spark = engine.root, engine.spark
+    kept = Engine(spark, root, index=str(tmp_path / "index"))
+    assert kept.status().first().pages == 0 and kept.status().first().backend == "parquet"
+    run = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    same = lambda: [r.asDict() for r in kept.search(text="weave").collect()] == [r.asDict() for r in engine.search(text="weave").collect()]
+    run("add", "-A")
+    run("commit", "-qm", "all", "--allow-empty")
+    assert same()
+    first = kept.stored.version()
+    assert kept.sync() == first and kept.status().first().head == first.head
+    for k in range(2):
+        with open(f"{root}/wiki/concepts/n{k}.md", "w") as f:
+            f.write(f"---\ntitle: Weave {k}\nsupersedes: ['[s](../sources/s.md)']\n---\nbody\n")
+        if k:
+            subprocess.run(["rm", f"{root}/wiki/concepts/n0.md"], check=True)
+        run("add", "-A")
+        run("commit", "-qm", str(k))
+        assert same()
+    v = kept.stored.version()
+    assert v.number == 2 and len(v.segments) == 3
+    stored.MOST, most = 2, stored.MOST
+    again = kept.sync(again=True)
+    stored.MOST = most
+    assert again.segments == ("m3",) and same()
+    assert kept.sync(full=True).segments == ("s4",) and same()
+    assert {r.page_ref: r.superseded_by for r in kept.search(kinds=("source",), include_superseded=True).collect()} == {"wiki/sources/s.md": "wiki/concepts/n1.md"}
+
+
+def test_calls_are_appended(spark, tmp_path):
+    calls = spark.createDataFrame([("read", "1", None)], "tool string, tool_use_id string, prompt_id string")
+    append_calls(calls, str(tmp_path / "log"))
+    append_calls(calls, str(tmp_path / "log"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert lines == [{"tool": "read", "tool_use_id": "1", "prompt_id": None, "agent_id": None, "agent_type": None, "duration_ms": None}] * 2

@@ -80,24 +80,49 @@ def test_files(spark, tmp_path):
     assert sorted((r.tool or "?", r.calls) for r in logs.tool_histogram(log).collect()) == [("?", 1), ("a", 1)]
 
 
-def plan(spark, **fields):
+def plan(spark, raw="", **fields):
     page = {"op": "create", "title": "New page", "kind": "concept", "body": "text\n"} | fields
-    return ingest.decode(spark.createDataFrame([(1, json.dumps({"title": "t", "raw": "raw/a.txt", "pages": [page]}))], "plan_id int, value string"))
+    return ingest.decode(spark.createDataFrame([(1, json.dumps({"title": "t", "raw": raw, "pages": [page]}))], "plan_id int, value string"))
 
 
 EXISTING = [("wiki/sources/s.md", "Stub", "---\ntitle: Stub\nrelated:\n  - a\n---\nold\n")]
 
 
-@pytest.mark.parametrize("fields,error", [({}, None), ({"op": "x"}, "op must be"), ({"title": ""}, "title is required"), ({"kind": "no"}, "not a valid kind"), ({"body": None}, "body is required"), ({"page_ref": "p"}, "page_ref must not"), ({"op": "update"}, "kind must not be set"), ({"frontmatter": {"source_date": "x"}}, "valid date"), ({"frontmatter": {"raw_source": "no"}}, "must be true"), ({"edges": [{"key": "related", "targets": ["wiki/a/none.md"]}]}, "no such target"), ({"op": "update", "kind": "", "page_ref": "wiki/a/none.md"}, "no such page")])
+RAW = {"raw": "raw/a b (1).txt"}
+STUB = {"title": "Stub page", "kind": "source", "frontmatter": {"raw_source": True}}
+
+
+@pytest.mark.parametrize(
+    "fields,error",
+    [
+        ({}, None),
+        ({"op": "x"}, "neither create nor update"),
+        ({"title": ""}, "without a title"),
+        ({"kind": "no"}, "unknown kind"),
+        ({"body": None}, "without a body"),
+        ({"page_ref": "p"}, "names its own path"),
+        ({"op": "update"}, "gives a kind"),
+        ({"frontmatter": {"source_date": "x"}}, "is no date"),
+        ({"frontmatter": {"source_date": 7}}, "is no date"),
+        ({"frontmatter": {"raw_source": "no"}}, "not true"),
+        ({"frontmatter": {"raw_source": True}}, "without a raw file"),
+        ({"edges": [{"key": "related", "targets": ["wiki/a/none.md"]}]}, "edge to no page: wiki/a/none.md"),
+        ({"edges": {"related": ["wiki/a/none.md"]}}, "edge to no page: wiki/a/none.md"),
+        ({"op": "update", "kind": "", "page_ref": "wiki/a/none.md"}, "there is no page"),
+        ({"title": "x" * 300, "kind": "own"}, None),
+        (RAW, "source of its raw file"),
+        (RAW | STUB, None),
+    ],
+)
 def test_plan_errors(spark, fields, error):
     existing = spark.createDataFrame(EXISTING, "page_ref string, title string, text string")
-    got = ingest.errors(plan(spark, **fields), existing).collect()
+    got = ingest.errors(plan(spark, **fields), existing, "/r", {"own": "owns"}).collect()
     assert (not got) if error is None else error in got[0].errors
 
 
 def test_plans_are_executed(spark, tmp_path):
     existing = spark.createDataFrame(EXISTING, "page_ref string, title string, text string")
-    p = plan(spark, frontmatter={"source_date": "2024-02-03T10:00", "raw_source": "true"}, edges=[{"key": "source", "targets": ["wiki/sources/s.md"]}, {"key": "supersedes", "targets": ["wiki/sources/s.md"]}])
+    p = plan(spark, "raw/a.txt", frontmatter={"source_date": "2024-02-03T10:00", "raw_source": True}, edges=[{"key": "source", "targets": ["wiki/sources/s.md"]}, {"key": "supersedes", "targets": ["wiki/sources/s.md"]}])
     out = ingest.resolved(p, existing)
     row = out.collect()[0]
     assert row.target == "wiki/concepts/new-page.md"
@@ -113,6 +138,50 @@ def test_plans_are_executed(spark, tmp_path):
     assert made.select(manifest_paths()).first()[0] == ["wiki/concepts/new-page.md", "wiki/sources/s.md", "raw/a.txt"]
 
 
+def test_lists_of_plans_are_merged_and_links_encoded(spark):
+    """Fields keep their types and order; raw files with spaces are links that are read back."""
+    existing = spark.createDataFrame([("wiki/sources/s.md", "Stub", "---\ntitle: Stub\ntags: [x, y]\n---\nold\n")], "page_ref string, title string, text string")
+    fields = {"tags": ["y", "z"], "n": 3, "raw_source": True, "flag": False}
+    made = ingest.resolved(plan(spark, "raw/a b (1).txt", title="New", frontmatter=fields, body="see [q](../sources/a b.md)\n" + "x"), existing).first().text
+    assert made.startswith('---\ntitle: New\ntags:\n  - y\n  - z\nn: 3\nraw_source: "[a b (1).txt](../../raw/a%20b%20%281%29.txt)"\nflag: false\n---\n')
+    got = ingest.resolved(plan(spark, op="update", title="Stub", kind="", page_ref="wiki/sources/s.md", body=None, frontmatter={"tags": ["y", "z"]}, edges={"related": ["wiki/sources/s.md"]}), existing).first().text
+    assert got == '---\ntitle: Stub\ntags:\n  - x\n  - y\n  - z\nrelated:\n  - "[Stub](s.md)"\n---\nold\n'
+    raw = files.record_edges(files.records(spark.createDataFrame([("wiki/concepts/n.md", made)], "page_ref string, text string"))).where("key = 'raw_source'").first()
+    assert raw.dst == "raw/a b (1).txt"
+
+
+def test_queue_rows_are_removed(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",), ("a",)], "rel string").write.parquet(str(tmp_path / "q"))
+    jobs.remove(spark, str(tmp_path / "q"), spark.createDataFrame([("a",)], "rel string"))
+    assert [r.rel for r in spark.read.parquet(str(tmp_path / "q")).collect()] == ["b"]
+
+
+def test_a_failed_sweep_is_told_and_the_watch_goes_on(spark, tmp_path, capsys):
+    spark.createDataFrame([("raw/a",)], "rel string").write.parquet(str(tmp_path / "in/1"))
+
+    def broken():
+        raise RuntimeError("no sweep today")
+
+    stream = spark.readStream.schema("rel string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    jobs.watch(stream, broken, str(tmp_path / "queue"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert "no sweep today" in capsys.readouterr().out
+
+
+def test_neighbours_within_a_budget(spark):
+    edges = spark.createDataFrame([("a", "refines", 0, "b"), ("c", "refines", 0, "a"), ("a", "related", 0, "d")], "src string, key string, ord int, dst string")
+    seeds = spark.createDataFrame([("a",)], "seed string")
+    told = lambda q, **k: sorted((r.page_ref, r.hop) for r in graph.answers(seeds, edges, q, **k).collect())
+    assert told("what it refines") == [("a", 0), ("b", 1)] and told("what refines it") == [("a", 0), ("c", 1)]
+    assert told("anything", budget=3) == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_paths_end_before_a_page_that_repeats(spark):
+    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "d")], "src string, nxt string")
+    seeds = spark.createDataFrame([("a",), ("d",), ("x",), ("a",)], "seed string")
+    got = sorted((r.seed, r.active, tuple(r.chain)) for r in graph.paths(seeds, steps).collect())
+    assert got == [("a", "c", ("a", "b", "c"))] * 2 + [("d", "d", ("d",)), ("x", "x", ("x",))]
+
+
 def test_debounce_stream_is_the_batch(spark, tmp_path):
     rows = [("a", 0), ("a", 10), ("a", 20), ("a", 35), ("a", 66), ("b", 0), ("b", 30), ("z", 10_000)]
     events = spark.createDataFrame([(i, r, s) for i, (r, s) in enumerate(rows)], "seq int, rel string, s int").withColumn("ts", F.timestamp_seconds("s"))
