@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 FOLDS = 4
 #: Rows of a few numbers that a side may have to be sent to every executor; beyond, both sides are shuffled.
 SMALL = 50_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch that a task turns into Python objects at once.
 SLICE = 2_000_000
 #: The same where the work is on Arrow's and numpy's arrays.
@@ -84,6 +85,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     dicts, one per output batch)."""
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
+    # Executors must have room for a batch in both processes: 8 MB where Spark's default of
+    # 64 MB stands, for the session; a user's other setting stays.
+    if df.sparkSession.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        df.sparkSession.conf.set(_BATCH, "8m")
     arrow = to_arrow_schema(struct)
 
     def run(batches):

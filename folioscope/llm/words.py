@@ -59,7 +59,7 @@ class WordCache:
     Full, it starts anew.  Pieces of more than ``longest`` characters aren't kept:
     such text, without spaces, hardly repeats."""
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = 128 << 20, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = 64 << 20, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest
         self._clear()
 
