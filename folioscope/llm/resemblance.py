@@ -2,13 +2,15 @@
 
 Texts are alike when their sets of shingles have a Jaccard similarity of ``ALIKE`` or
 more.  Candidates share a key, of ``ROWS`` min-hashes; of ``BANDS`` keys, texts as
-alike as that miss all with a chance of 3 in a million.  Every candidate is verified
+alike as that miss all with a chance of 7 in a million.  Every candidate is verified
 on the whole sets.  Equal sets are one class, so copies cost one row.
 
 First each class is compared with one class of each of its keys, so a large group
 costs rows in proportion to it.  Then classes that this left apart from the one that
 stands for the key are compared with all others of the key that they are not yet
-connected to: what shares a key is in the end compared or connected.
+connected to, but for pairs of which too many min-hashes differ: of texts as alike as
+that ``FAR`` or more differ with a chance of 1 in a million.  So what shares a key is
+in the end told apart, compared or connected.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ SHINGLE = 5
 ALIKE = (4, 5)  # 0.8, as whole numbers
 BANDS = 30
 ROWS = 5
+#: Bits kept of each min-hash, and of how many min-hashes they may not all differ.
+PLANES = 4
+FAR = 53
 #: Bits of the sieve, 8 MB.
 SIEVE = 1 << 26
 _RNG = np.random.default_rng(11)
@@ -42,33 +47,56 @@ def grams(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in each], np.uint64))
 
 
-def keys(h: np.ndarray) -> np.ndarray:
-    """One key a band."""
+def least(h: np.ndarray) -> np.ndarray:
+    """The min-hashes of a set, none of an empty one."""
     if not len(h):
+        return np.zeros(0, np.uint64)
+    return np.min([((h[k : k + 1000, None] ^ _XOR) * _TIMES).min(0) for k in range(0, len(h), 1000)], axis=0)
+
+
+def keys(m: np.ndarray) -> np.ndarray:
+    """One key a band of min-hashes."""
+    if not len(m):
+        return np.zeros(0, np.int64)
+    return ((m.reshape(BANDS, ROWS) * _MIX[:, :ROWS]).sum(1, dtype=np.uint64) ^ _MIX[:, ROWS]).view(np.int64)
+
+
+def planes(m: np.ndarray) -> np.ndarray:
+    """Some bits of the min-hashes, the first ones of all in whole numbers, then the second ones."""
+    if not len(m):
         return np.zeros(0, np.int64)
-    least = np.min([((h[k : k + 1000, None] ^ _XOR) * _TIMES).min(0) for k in range(0, len(h), 1000)], axis=0)
-    return ((least.reshape(BANDS, ROWS) * _MIX[:, :ROWS]).sum(1, dtype=np.uint64) ^ _MIX[:, ROWS]).view(np.int64)
+    bits = (m >> np.arange(20, 20 + PLANES, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, -len(m) % 64))), axis=1).view(np.int64).ravel()
+
+
+def _differing(x: str, y: str) -> str:
+    """How many min-hashes differ by their bits in two columns of ``planes``."""
+    words = -(-BANDS * ROWS // 64)
+    one = lambda w: " | ".join(f"({x}[{p * words + w}] ^ {y}[{p * words + w}])" for p in range(PLANES))
+    return " + ".join(f"bit_count({one(w)})" for w in range(words))
 
 
 def sketches(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, th, fp, sh, n, keys): simhash.fingerprints with a hash of the set of
-    shingles, its size and its keys."""
+    """(doc_id, th, fp, sh, n, keys, bits): simhash.fingerprints with a hash of the set of
+    shingles, its size, its keys and bits of its min-hashes."""
 
     def make():
         def of(batch):
-            cols: dict = {"fp": [], "sh": [], "n": [], "keys": []}
+            cols: dict = {"fp": [], "sh": [], "n": [], "keys": [], "bits": []}
             for t in batch["text"].to_pylist():
                 h = grams(t)
                 cols["fp"].append(fingerprint(t, shingle))
                 cols["sh"].append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 cols["n"].append(len(h))
-                cols["keys"].append(keys(h))
+                m = least(h)
+                cols["keys"].append(keys(m))
+                cols["bits"].append(planes(m))
             return {c: batch[c] for c in ("doc_id", "th")} | cols | {c: np.array(cols[c], np.uint64).view(np.int64) for c in ("fp", "sh")}
 
         return of
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return map_batches(rows, make, f"doc_id {docs.schema[key].dataType.simpleString()}, th long, fp long, sh long, n int, keys array<long>")
+    return map_batches(rows, make, f"doc_id {docs.schema[key].dataType.simpleString()}, th long, fp long, sh long, n int, keys array<long>, bits array<long>")
 
 
 def _sieve(hashes: DataFrame) -> np.ndarray:
@@ -118,7 +146,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str,
 def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(a, b): fingerprints of ``prints`` (from sketches) that belong together, as texts
     with them are alike."""
-    classes = cut(prints.groupBy("sh").agg(F.min("fp").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "th")).alias("one")))
+    classes = cut(prints.groupBy("sh").agg(F.min("fp").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "th")).alias("one")))
     filed = classes.select("sh", "n", F.explode("keys").alias("key"))
     many = filed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     filed = cut(filed.join(many, "key"))
@@ -137,8 +165,10 @@ def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "do
     roots = components(alike)
     filed = filed.join(roots.withColumnsRenamed({"node": "sh", "root": "r"}), "sh", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("hr")), "head", "left")
     filed = cut(filed.select("key", "sh", "n", F.coalesce("r", "sh").alias("r"), F.coalesce("hr", "head").alias("hr")).where("key IS NOT NULL"))
-    apart = filed.where("r <> hr").select("key", F.col("sh").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"))
-    met = apart.join(filed, "key").where(f"r <> xr AND {near('n', 'xn')} AND (r = hr OR x < sh)")
+    left = filed.join(filed.where("r <> hr").select("key").distinct(), "key", "left_semi")
+    left = cut(left.join(classes.select("sh", "bits"), "sh"))
+    apart = left.where("r <> hr").select("key", F.col("sh").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"), F.col("bits").alias("xbits"))
+    met = apart.join(left, "key").where(f"r <> xr AND {near('n', 'xn')} AND (r = hr OR x < sh) AND {_differing('bits', 'xbits')} < {FAR}")
     rest = met.select(F.least("x", "sh").alias("a"), F.greatest("x", "sh").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     alike = alike.union(_verified(docs, classes, cut(rest), text, key))
     f = classes.select("sh", "f")

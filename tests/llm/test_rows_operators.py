@@ -218,6 +218,21 @@ def test_pipeline_drops_alike_texts(spark):
     assert corpus_pipeline.drop_copies(spark, docs.where("false"), "").count() == 0
 
 
+def test_differing_min_hashes(spark):
+    """Bits tell how many min-hashes differ; sets with a similarity of 0.8 stay well below the bound."""
+    from folioscope.llm import resemblance as r
+
+    rng, rows, want = np.random.default_rng(3), [], []
+    for k, n in enumerate((20, 50, 200, 1000) * 10):
+        u = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        x, y = (r.least(h) for h in (u[n // 10 :], u[: n - n // 10]))
+        want.append((k, int(((x >> np.uint64(20) & np.uint64(15)) != (y >> np.uint64(20) & np.uint64(15))).sum())))
+        rows.append((k, r.planes(x).tolist(), r.planes(y).tolist()))
+    got = spark.createDataFrame(rows, "k int, x array<long>, y array<long>").selectExpr("k", f"{r._differing('x', 'y')} AS n").collect()
+    assert sorted((g.k, g.n) for g in got) == want and max(n for _, n in want) < r.FAR
+    assert not len(r.planes(r.least(np.zeros(0, np.uint64))))
+
+
 def test_a_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
