@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, mixing, quality, secrets, simhash, tokens_file, topk, toxicity
+from . import ann, bpe, counts, mixing, periods, quality, secrets, shards, simhash, tokens_file, topk, toxicity
 from .common import fold, read
 
 
@@ -62,6 +62,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_file.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumns({"size": shards.size("text"), "text_crc32": shards.checksum("text")})
+    placed = shards.assign(docs)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find(periods.made_periodic(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periods.longest("runs")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it imports this subpackage
 
@@ -79,7 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
+    "op12_shards": op12_shards,
+    "op13_periods": op13_periods,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op12_shards": shards.ORACLE}
