@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, mixing, periods, quality, secrets, shards, simhash, tokens_file, topk, toxicity
+from . import ann, bpe, collocations, counts, mixing, periods, quality, secrets, shards, simhash, tokens_file, topk, toxicity
 from .common import fold, read
 
 
@@ -62,6 +62,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_file.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumns({"size": shards.size("text"), "text_crc32": shards.checksum("text")})
     placed = shards.assign(docs)
@@ -99,9 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
     "op12_shards": op12_shards,
     "op13_periods": op13_periods,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op12_shards": shards.ORACLE}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op12_shards": shards.ORACLE}
