@@ -69,7 +69,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", source: st
     n = Names([*docs.columns, *own])
     # Rows without id are told apart by their texts.
     named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
-    rows = docs.withColumn(n.order, F.md5(F.concat(F.lit(f"{seed}:"), named))).withColumn(n.bucket, F.substring(n.order, 1, 3))
+    rows = docs.withColumns({n.order: F.md5(F.concat(F.lit(f"{seed}:"), named)), n.same: F.md5(F.coalesce(text, F.lit("")))})
+    rows = rows.withColumn(n.bucket, F.substring(n.order, 1, 3))
     sums = cut(rows.groupBy(F.col(source).alias("s"), F.col(n.bucket).alias("b")).agg(F.count("*").alias("c")))
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), "s"), F.lit("")))
     phase = F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("long")
@@ -79,7 +80,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", source: st
     plan = sums.select("s", "b", (F.sum("c").over(of.orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(of).alias("n"), phase.alias("phase"))
     plan = plan.toDF(n.of, n.b, n.before, n.n, n.phase)
     met = rows.join(plan, F.col(source).eqNullSafe(F.col(n.of)) & (F.col(n.bucket) == F.col(n.b)))
-    shuffled = Window.partitionBy(n.of, n.b).orderBy(n.order, F.col(key), F.md5(F.coalesce(text, F.lit(""))))
+    shuffled = Window.partitionBy(n.of, n.b).orderBy(n.order, F.col(key), n.same)
     met = met.withColumn(n.rank, F.row_number().over(shuffled) - 1 + F.col(n.before))
     # The fractional rank: its stretch by whole numbers, its order within by doubles.
     above, below = F.col(n.rank) * PARTS + F.col(n.phase), F.col(n.n) * PARTS
