@@ -104,11 +104,16 @@ class Engine:
         """What StoredIndex.sync is fed with: records of what changed since a commit."""
         feed = cut(self.committed(since))  # the history is read once
         live = feed.where("NOT deleted").select("page_ref", F.col("content").alias("text"), F.when(F.col("date") != "", F.col("date")).alias("git_date"))
+        records = self._records(live).withColumn("there", F.lit(True))
+        return feed.select("page_ref").distinct().join(records, "page_ref", "left").withColumn("deleted", F.col("there").isNull()).drop("there")
+
+    @staticmethod
+    def _records(live: DataFrame) -> DataFrame:
+        """Records, with the pages they supersede, of those of (page_ref, text, git_date) that parse."""
         parsed = files.records(live.select("page_ref", "text"), "DROPMALFORMED")
         links_of = files.record_edges(parsed).where("key = 'supersedes'").groupBy(F.col("src").alias("page_ref")).agg(F.sort_array(F.collect_set("dst")).alias("supersedes"))
         records = parsed.join(live.select("page_ref", "git_date"), "page_ref").join(links_of, "page_ref", "left")
-        records = records.withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>"))).withColumn("there", F.lit(True))
-        return feed.select("page_ref").distinct().join(records, "page_ref", "left").withColumn("deleted", F.col("there").isNull()).drop("there")
+        return records.withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>")))
 
     def sync(self, again: bool = False, full: bool = False) -> stored.Version:
         """W-07, W-08: bring the stored index up to HEAD; ``again`` walks the last range even
@@ -117,19 +122,24 @@ class Engine:
         lost = now is not None and not git.known(self.root, now.head)
         return self.stored.sync(git.head(self.root), self._changed, again, full or lost)
 
+    def follow(self, checkpoint: str, **how):
+        """W-07: the stored index fed by the stream of the repository's history."""
+        feed = self.spark.readStream.format("git_pages").options(root=self.root).load()
+        return jobs.indexed(feed, self.stored, self._records, checkpoint, **how)
+
     def _current(self, indexed: bool = True) -> tuple[DataFrame, search.Index | None]:
         if self.stored is not None:
             v = self.sync()
             return self.stored.pages(v), self.stored.index(v) if indexed else None
         view = self.pages()
-        return view, search.build_index(view, self.analyzer) if indexed else None
+        return view, None
 
     def search(self, **query) -> DataFrame:
         """Hits with snippets where the query has text."""
         q = search.Query(**query)
         ranked = bool(q.text.strip()) or q.expression is not None
         view, index = self._current(ranked)
-        hits = search.search(view, index, q)
+        hits = search.search(view, index, q, self.analyzer)
         if not ranked:
             return hits.withColumn("snippet", F.lit(None).cast("string"))
         words = q.text.split() if q.expression is None else [w for p in search._leaves(q.expression) for w in p.text.split()]
@@ -140,7 +150,7 @@ class Engine:
         view, index = self._current()
         terms = fn.discovery_terms(*[F.coalesce(c, F.lit("")) for c in ("title", "summary", "body")])
         asked = drafts.select("query_id", "title", self.analyzer(F.array_join(terms, " ")).alias("terms"))
-        return search.discover(view, index, asked, **how).orderBy("query_id", "rank")
+        return search.discover(view, index, asked, analyzer=self.analyzer, **how).orderBy("query_id", "rank")
 
     def vocabulary(self) -> DataFrame:
         return tags.vocabulary(tags.page_tags(self._current(False)[0]))
@@ -156,7 +166,7 @@ class Engine:
 
     def resolve(self, seeds: list[str]) -> DataFrame:
         """G-04: (seed, active, chain): the active end of each page's chain, in the working
-        tree, and the pages on the way from the seed to it."""
+        tree, and the pages after the seed up to it, none for a current page."""
         successors = self.edges().where("key = 'supersedes'").select(F.col("dst").alias("src"), F.col("src").alias("nxt"))
         return graph.paths(self.spark.createDataFrame([(s,) for s in seeds], "seed string"), successors)
 

@@ -52,57 +52,47 @@ def chains(seeds: DataFrame, successors: DataFrame, most: int = 64) -> DataFrame
     unknown seed is its own end.  ``most``: rounds for cycles, bounded by the doubling.
     """
     step = successors.where("src <> nxt").groupBy("src").agg(F.min("nxt").alias("nxt"))
-    # Pages on a cycle never reach an end; they are followed one by one below.
     jump = step.select("src", F.col("nxt").alias("at"), F.lit(1).cast("long").alias("hops"))
     for _ in range(most):
-        jump = cut(jump)
         nxt = jump.select(F.col("src").alias("m"), F.col("at").alias("at2"), F.col("hops").alias("hops2"))
-        moved = jump.join(nxt, jump["at"] == nxt["m"], "left")
-        if not moved.where("m IS NOT NULL AND hops < 1048576").take(1):
+        goes_on = F.col("m").isNotNull() & (F.col("hops") < 1 << 20)
+        moved = cut(jump.join(nxt, jump["at"] == nxt["m"], "left").withColumn("goes_on", goes_on))
+        if not moved.where("goes_on").take(1):
             break
-        jump = moved.select("src", F.when(F.col("hops") < 1 << 20, F.coalesce("at2", "at")).otherwise(F.col("at")).alias("at"), F.when(F.col("hops") < 1 << 20, F.col("hops") + F.coalesce("hops2", F.lit(0))).otherwise(F.col("hops")).alias("hops"))
+        further = F.when(F.col("goes_on"), F.col("hops") + F.col("hops2")).otherwise(F.col("hops"))
+        jump = moved.select("src", F.when(F.col("goes_on"), F.col("at2")).otherwise(F.col("at")).alias("at"), further.alias("hops"))
     ended = jump.join(step.select(F.col("src").alias("more")), F.col("at") == F.col("more"), "left")
-    cyclic = ended.where("more IS NOT NULL").select("src")
-    fine = ended.where("more IS NULL").select("src", "at", "hops")
-    around = _cyclic(cyclic, step)
-    known = fine.unionByName(around) if around is not None else fine
+    known = ended.where("more IS NULL").select("src", "at", "hops")
+    # Pages whose chain runs into a cycle never reach an end: their chains are gathered.
+    cyclic = cut(ended.where("more IS NOT NULL").select(F.col("src").alias("seed")))
+    if cyclic.take(1):
+        around = paths(cyclic, step.join(cyclic.select(F.col("seed").alias("src")), "src", "left_semi"))
+        known = known.unionByName(around.select(F.col("seed").alias("src"), F.col("active").alias("at"), F.size("chain").cast("long").alias("hops")))
     return seeds.join(known, seeds["seed"] == known["src"], "left").select("seed", F.coalesce("at", "seed").alias("active"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"))
 
 
-def _cyclic(starts: DataFrame, step: DataFrame) -> DataFrame | None:
-    """(src, at, hops) of pages whose chain runs into a cycle: followed with their path."""
-    if not starts.take(1):
-        return None
-    now = starts.select("src", F.col("src").alias("at"), F.array("src").alias("path"))
-    done = None
-    while True:
-        now = cut(now)
-        nxt = now.join(step.withColumnsRenamed({"src": "s"}), F.col("at") == F.col("s"))
-        stop = F.array_contains("path", F.col("nxt"))
-        ends = nxt.where(stop).select("src", "at", (F.size("path") - 1).cast("long").alias("hops"))
-        done = ends if done is None else done.unionByName(ends)
-        now = cut(nxt.where(~stop).select("src", F.col("nxt").alias("at"), F.concat("path", F.array("nxt")).alias("path")))
-        if not now.take(1):
-            return done
-
-
 def paths(seeds: DataFrame, successors: DataFrame) -> DataFrame:
-    """G-04: (seed, active, chain): the end of each seed's chain and the pages from the seed to
-    it, by following (src, nxt).  A join a hop, over the seeds that still go on, so it is for
-    questions about some pages; ``chains`` is for all.  Equal seeds each have a row."""
+    """G-04: (seed, active, chain): the end of each seed's chain and the pages after the seed up
+    to it, none for a current page, by following (src, nxt).  Equal seeds each have a row.
+
+    Doubling: each round appends to a page's chain that of its last page, so n hops take log n
+    joins.  A chain stops before the page that would repeat, and is whole once it has."""
     step = successors.where("src <> nxt").groupBy("src").agg(F.min("nxt").alias("nxt"))
-    now = seeds.select("seed").distinct().select("seed", F.array("seed").alias("chain"))
-    done = None
+    now = step.select("src", F.array("nxt").alias("chain"), F.lit(False).alias("whole"))
     while True:
-        now = cut(now)
-        met = now.join(step, F.element_at("chain", -1) == F.col("src"), "left")
-        ends = F.col("nxt").isNull() | F.array_contains("chain", F.col("nxt"))
-        here = met.where(ends).select("seed", "chain")
-        done = here if done is None else done.unionByName(here)
-        now = met.where(~ends).select("seed", F.concat("chain", F.array("nxt")).alias("chain"))
-        if not now.take(1):
+        ahead = now.select(F.col("src").alias("m"), F.col("chain").alias("more"), F.col("whole").alias("then"))
+        met = now.join(ahead, (F.element_at("chain", -1) == F.col("m")) & ~F.col("whole"), "left")
+        met = met.select("src", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"), (F.col("whole") | F.col("m").isNull() | F.col("then")).alias("whole"))
+        repeats = F.size(F.array_distinct(F.concat(F.array("src"), "chain"))) <= F.size("chain")
+        # The first page that stood before, at the seed or in the chain.
+        first = F.expr("array_min(filter(sequence(1, size(chain)), i -> chain[i - 1] = src OR array_position(chain, chain[i - 1]) < i))")
+        met = met.withColumn("repeats", repeats)
+        now = cut(met.select("src", F.when(F.col("repeats"), F.slice("chain", F.lit(1), first - 1)).otherwise(F.col("chain")).alias("chain"), (F.col("whole") | F.col("repeats")).alias("whole")))
+        if not now.where("NOT whole").take(1):
             break
-    return seeds.select("seed").join(done, "seed").select("seed", F.element_at("chain", -1).alias("active"), "chain")
+    own = seeds.select("seed").join(now, F.col("seed") == F.col("src"), "left")
+    chain = F.coalesce("chain", F.array().cast("array<string>"))
+    return own.select("seed", F.coalesce(F.get(chain, F.size(chain) - 1), "seed").alias("active"), chain.alias("chain"))
 
 
 def current(pages: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -1,20 +1,24 @@
 """Ranked full-text search: postings, BM25, phrases, expressions, filters and top-k.
 
-The index is three DataFrames: postings (a row per term and page with places and
-weighted frequency), doc_stats and corpus.  Written sorted by term, a search reads
-only the row groups of its terms.  Corpus figures cover all pages; filters on
-metadata come after, so they don't change a score.
+The index is postings (a row per term and page with places, weighted frequency and the
+page's length), figures of the corpus and, where it is kept, figures of each term, all of
+which add up over sets of pages.  It is built in one pass, and sorted by term, so that a
+search reads only what its terms need; a search without one reads the pages once and
+keeps what it asks for.  Corpus figures cover all pages; filters on metadata come after,
+so they don't change a score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..sources.session import cut
 
 #: The weights of title, summary and body, and BM25's two constants.
 WEIGHTS = {"title": 10.0, "summary": 5.0, "body": 1.0}
@@ -80,40 +84,97 @@ class Query:
 
 @dataclass
 class Index:
-    """Postings and figures of a set of pages (D-08, A-11)."""
+    """Postings and figures of a set of pages (D-08, A-11).
 
-    postings: DataFrame  # term, page_ref, title, summary, body (arrays of places), tf
-    doc_stats: DataFrame  # page_ref, dl
-    corpus: DataFrame  # n, avgdl: one row
+    Figures add up over sets of pages: n and total by adding, a term's by adding df and
+    taking the greatest tf and the least dl."""
+
+    postings: DataFrame  # term, page_ref, dl, title, summary, body (arrays of places), tf
+    corpus: DataFrame  # n, total (words): one row
     analyzer: object = field(default=tokens)
+    terms: DataFrame | None = None  # term, df, tf, dl
+    words: DataFrame | None = None  # what it is built from
 
     def write(self, path: str) -> None:
-        """K-05: sorted by term, so that a search prunes row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "page_ref").write.parquet(f"{path}/postings")
-        self.doc_stats.write.parquet(f"{path}/doc_stats")
-        self.corpus.coalesce(1).write.parquet(f"{path}/corpus")
+        """K-05: in one pass over the pages.  Files are by hash of the term and sorted by it,
+        with Bloom filters, so that a search reads the pages of files that have its terms."""
+        spark, corpus, postings = self.postings.sparkSession, self.corpus, self.postings
+        seen = Observation()
+        if self.words is not None:
+            postings = _grouped(self.words.observe(seen, F.count("*").alias("n"), F.sum("dl").alias("total")))
+        write_postings(postings, f"{path}/postings")
+        if self.words is not None:
+            corpus = spark.createDataFrame([(seen.get["n"], seen.get["total"] or 0)], "n long, total long")
+        corpus.coalesce(1).write.parquet(f"{path}/corpus")
+        terms_of(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, path: str, analyzer=tokens) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "corpus")), analyzer)
+        postings, corpus, terms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "corpus", "terms"))
+        return Index(postings, corpus, analyzer, terms)
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Postings that stand by term: sorted, with Bloom filters as large as they need be."""
+    filters = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    postings.sortWithinPartitions("term", "page_ref").write.options(**filters).parquet(path)
 
 
 def _total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def corpus_of(doc_stats: DataFrame) -> DataFrame:
-    return doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def analyzed(pages: DataFrame, analyzer=tokens) -> DataFrame:
+    """(page_ref, dl, title, summary, body): the tokens of each text column, and their number."""
+    words = pages.select("page_ref", *[analyzer(c).alias(c) for c in WEIGHTS])
+    return words.select("page_ref", _total([F.size(c) for c in WEIGHTS]).cast("long").alias("dl"), *WEIGHTS)
+
+
+def _placed() -> Column:
+    """All tokens of a page as (term, at), a place and its column in one number."""
+
+    def of(column: str, k: int) -> Column:
+        return F.transform(column, lambda x, i: F.struct(x.alias("term"), (i * len(WEIGHTS) + k).alias("at")))
+
+    return F.concat(*[of(c, k) for k, c in enumerate(WEIGHTS)])
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Postings from (term, page_ref, dl, at)."""
+
+    def places(k: int) -> Column:
+        return F.transform(F.filter("at", lambda x: x % len(WEIGHTS) == k), lambda x: (x / len(WEIGHTS)).cast("int"))
+
+    found = rows.groupBy("term", "page_ref", "dl").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return found.select("term", "page_ref", "dl", *[places(k).alias(c) for k, c in enumerate(WEIGHTS)]).withColumn("tf", _weighted())
+
+
+def _grouped(words: DataFrame) -> DataFrame:
+    # Dealt by term at once: what is grouped then stays where a file of it is written.
+    return _gathered(words.select("page_ref", "dl", F.explode(_placed()).alias("x")).select("page_ref", "dl", "x.*").repartition("term"))
+
+
+def corpus_of(words: DataFrame) -> DataFrame:
+    return words.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+
+
+def terms_of(postings: DataFrame) -> DataFrame:
+    """(term, df, tf, dl): a term's pages, its greatest frequency and its shortest page."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
 
 
 def build_index(pages: DataFrame, analyzer=tokens) -> Index:
     """S-11 and B-01's inputs: terms with places for each text column of (page_ref, title, summary, body)."""
-    words = pages.select("page_ref", *[analyzer(c).alias(c) for c in WEIGHTS])
-    flat = reduce(lambda a, b: a.unionByName(b), [words.select("page_ref", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in WEIGHTS])
-    places = [F.sort_array(F.collect_list(F.when(F.col("col") == c, F.col("pos")))).alias(c) for c in WEIGHTS]
-    postings = flat.groupBy("term", "page_ref").agg(*places)
-    stats = words.select("page_ref", _total([F.size(c) for c in WEIGHTS]).cast("long").alias("dl"))
-    return Index(postings.withColumn("tf", _weighted()), stats, corpus_of(stats), analyzer)
+    words = analyzed(pages, analyzer)
+    return Index(_grouped(words), corpus_of(words), analyzer, words=words)
+
+
+def scan(pages: DataFrame, wanted: Callable[[Column], Column], analyzer=tokens) -> Index:
+    """The index as far as terms are ``wanted``, for one search: the pages are read once, and
+    of each its length and the wanted places are kept."""
+    words = analyzed(pages, analyzer).select("page_ref", "dl", F.filter(_placed(), lambda x: wanted(x["term"])).alias("x"))
+    words = cut(words)
+    return Index(_gathered(words.select("page_ref", "dl", F.explode("x").alias("x")).select("page_ref", "dl", "x.*")), corpus_of(words), analyzer)
 
 
 def _weighted() -> Column:
@@ -139,25 +200,25 @@ def _moved(places: str, by: int) -> Column:
 
 
 def _places(index: Index, words: tuple[str, ...], prefix: bool, columns: tuple[str, ...]) -> DataFrame:
-    """(page_ref, title, summary, body): where a phrase begins, by column."""
+    """(page_ref, dl, title, summary, body): where a phrase begins, by column."""
 
     def of(term: str, open_ended: bool) -> DataFrame:
         empty = F.array().cast("array<int>")
         picked = [(F.col(c) if c in columns else empty).alias(c) for c in WEIGHTS]
         if not open_ended:
-            return index.postings.where(F.col("term") == term).select("page_ref", *picked)
-        found = index.postings.where(F.col("term").startswith(term)).select("page_ref", *picked)
-        return found.groupBy("page_ref").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in WEIGHTS])
+            return index.postings.where(F.col("term") == term).select("page_ref", "dl", *picked)
+        found = index.postings.where(F.col("term").startswith(term)).select("page_ref", "dl", *picked)
+        return found.groupBy("page_ref", "dl").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in WEIGHTS])
 
     met = of(words[0], prefix and len(words) == 1)
     for k, term in enumerate(words[1:], 1):
         nxt = of(term, prefix and k == len(words) - 1).select("page_ref", *[_moved(c, k).alias(f"{c}_next") for c in WEIGHTS])
-        met = met.join(nxt, "page_ref").select("page_ref", *[F.array_intersect(c, f"{c}_next").alias(c) for c in WEIGHTS])
+        met = met.join(nxt, "page_ref").select("page_ref", "dl", *[F.array_intersect(c, f"{c}_next").alias(c) for c in WEIGHTS])
     return met.where(_total([F.size(c) for c in WEIGHTS]) > 0)
 
 
 def phrase_hits(index: Index, phrases: list[tuple[str, ...]]) -> DataFrame:
-    """(q, times, page_ref, tf) of each distinct phrase; S-10: a phrase is adjacent
+    """(q, times, page_ref, dl, tf) of each distinct phrase; S-10: a phrase is adjacent
     tokens of one column.  A repeated phrase counts as often as it stands there."""
     distinct = list(dict.fromkeys(phrases))
     out = []
@@ -165,10 +226,10 @@ def phrase_hits(index: Index, phrases: list[tuple[str, ...]]) -> DataFrame:
     if single:
         found = index.postings.where(F.col("term").isin(*single))
         q = F.create_map(*[F.lit(x) for kv in single.items() for x in kv])
-        out.append(found.select(q[F.col("term")].alias("q"), "page_ref", "tf"))
+        out.append(found.select(q[F.col("term")].alias("q"), "page_ref", "dl", "tf"))
     for i, p in enumerate(distinct):
         if len(p) > 1:
-            out.append(_places(index, p, False, tuple(WEIGHTS)).select(F.lit(i).alias("q"), "page_ref", _weighted().alias("tf")))
+            out.append(_places(index, p, False, tuple(WEIGHTS)).select(F.lit(i).alias("q"), "page_ref", "dl", _weighted().alias("tf")))
     times = F.create_map(*[F.lit(x) for i, p in enumerate(distinct) for x in (i, phrases.count(p))])
     return reduce(lambda a, b: a.unionByName(b), out).withColumn("times", times[F.col("q")])
 
@@ -208,7 +269,7 @@ def _near(met: DataFrame, sizes: list[int], distance: int) -> DataFrame:
 
 
 def expression_hits(index: Index, node, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """S-09: (q, times, page_ref, tf) of all phrases of a tree, and (page_ref) of what it
+    """S-09: (q, times, page_ref, dl, tf) of all phrases of a tree, and (page_ref) of what it
     matches.  A phrase without tokens is ignored beside others."""
     leaves = list(dict.fromkeys(_leaves(node)))
     words = dict(zip(leaves, phrases_of(spark, [p.text for p in leaves], index.analyzer), strict=True))
@@ -219,17 +280,17 @@ def expression_hits(index: Index, node, spark: SparkSession) -> tuple[DataFrame,
         if isinstance(n, Phrase):
             if n not in places:
                 return None
-            hits.append(places[n].select(F.lit(len(hits)).alias("q"), "page_ref", _weighted().alias("tf"), F.lit(leaves.index(n)).alias("phrase")))
+            hits.append(places[n].select(F.lit(len(hits)).alias("q"), "page_ref", "dl", _weighted().alias("tf"), F.lit(leaves.index(n)).alias("phrase")))
             return places[n].select("page_ref")
         if isinstance(n, Near):
             some = [p for p in n.phrases if p in places]
             if not some:
                 return None
-            met = reduce(lambda a, b: a.join(b, "page_ref"), [places[p].select("page_ref", *[F.col(c).alias(f"{c}_{i}") for c in WEIGHTS]) for i, p in enumerate(some)])
+            met = reduce(lambda a, b: a.join(b, "page_ref"), [places[p].select("page_ref", *([] if i else ["dl"]), *[F.col(c).alias(f"{c}_{i}") for c in WEIGHTS]) for i, p in enumerate(some)])
             met = _near(met, [len(words[p]) for p in some], n.distance)
             for i, p in enumerate(some):
                 tf = _total([F.size(f"{c}_{i}") * F.lit(w) for c, w in WEIGHTS.items()])
-                hits.append(met.select(F.lit(len(hits)).alias("q"), "page_ref", tf.alias("tf"), F.lit(leaves.index(p)).alias("phrase")))
+                hits.append(met.select(F.lit(len(hits)).alias("q"), "page_ref", "dl", tf.alias("tf"), F.lit(leaves.index(p)).alias("phrase")))
             return met.select("page_ref")
         if isinstance(n, Not):
             keep, drop = matched(n.keep), matched(n.drop)
@@ -243,24 +304,33 @@ def expression_hits(index: Index, node, spark: SparkSession) -> tuple[DataFrame,
 
     found = matched(node)
     if found is None:
-        none = index.doc_stats.where("false").select("page_ref")
-        return none.select(F.lit(0).alias("q"), "page_ref", F.lit(0.0).alias("tf"), F.lit(0).alias("phrase"), F.lit(1).alias("times")), none
+        none = index.postings.where("false").select("page_ref")
+        return index.postings.where("false").select(F.lit(0).alias("q"), "page_ref", "dl", F.lit(0.0).alias("tf"), F.lit(0).alias("phrase"), F.lit(1).alias("times")), none
     # How many pages have a phrase is told by its own places, wherever it stands in the tree.
     counted = reduce(lambda a, b: a.unionByName(b), [d.select(F.lit(leaves.index(p)).alias("phrase"), "page_ref") for p, d in places.items()]).groupBy("phrase").agg(F.count("*").alias("nq"))
     all_hits = reduce(lambda a, b: a.unionByName(b), hits).withColumn("times", F.lit(1))
     return all_hits.join(F.broadcast(counted), "phrase"), found  # a row for each phrase of the query
 
 
+def rated(figures: DataFrame, index: Index) -> DataFrame:
+    """Of terms or phrases with nq, the pages that have them: avgdl and their weight idf."""
+    idf = F.ln((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
+    # corpus is one row.
+    return figures.crossJoin(F.broadcast(index.corpus)).withColumn("avgdl", F.col("total") / F.col("n")).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).drop("n", "total")
+
+
+def _part() -> Column:
+    """What a phrase adds to a page's score."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25(hits: DataFrame, index: Index, keys: tuple[str, ...] = ()) -> DataFrame:
-    """B-01: (keys, page_ref, score, matched) from hits (keys, q, times, page_ref, tf), with nq
+    """B-01: (keys, page_ref, score, matched) from hits (keys, q, times, page_ref, dl, tf), with nq
     where it isn't the number of their pages."""
     n_q = hits.select("q", "nq").distinct() if "nq" in hits.columns else hits.groupBy("q").agg(F.countDistinct("page_ref").alias("nq"))
-    idf = F.ln((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
-    # corpus is one row, and there is a row of n_q for each phrase of the query.
-    rated = n_q.crossJoin(F.broadcast(index.corpus)).select("q", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(rated, "q").join(index.doc_stats, "page_ref")
-    return scored.groupBy(*keys, "page_ref").agg(_summed(part).alias("score"), F.countDistinct("q").alias("matched"))
+    # A row for each phrase of the query.
+    scored = hits.join(F.broadcast(rated(n_q, index).select("q", "avgdl", "idf")), "q")
+    return scored.groupBy(*keys, "page_ref").agg(_summed(F.col("times") * _part()).alias("score"), F.countDistinct("q").alias("matched"))
 
 
 def _summed(part: Column) -> Column:
@@ -290,13 +360,26 @@ def where(query: Query) -> Column:
     return reduce(lambda a, b: a & b, clauses)
 
 
-def search(pages: DataFrame, index: Index | None, query: Query) -> DataFrame:
+def _wanted(spark: SparkSession, query: Query, analyzer) -> Callable[[Column], Column]:
+    """Which terms a query asks for."""
+    leaves = [Phrase(w) for w in words_of(query.text)] if query.expression is None else _leaves(query.expression)
+    each = list(zip(leaves, phrases_of(spark, [p.text for p in leaves], analyzer), strict=True))
+    whole = sorted({t for _, words in each for t in words})
+    begun = sorted({words[-1] for p, words in each if p.prefix and words})
+    return lambda term: reduce(lambda a, b: a | b, [term.startswith(t) for t in begun], term.isin(whole))
+
+
+def search(pages: DataFrame, index: Index | None, query: Query, analyzer=tokens, texts: DataFrame | None = None) -> DataFrame:
     """The hits of a query, best first, ties by page_ref (O-01); without text the pages
-    that pass the filters by page_ref, with score 0 and no tags (O-02)."""
+    that pass the filters by page_ref, with score 0 and no tags (O-02).  Without an index
+    ``texts``, or else the pages, are scanned by the analyzer: their (page_ref, title,
+    summary, body)."""
     limit = query.limit if query.limit > 0 else LIMIT
     kept = pages.where(where(query))
     if not query.text.strip() and query.expression is None:
         return kept.withColumns({"score": F.lit(0.0)}).select(*HIT, F.array().cast("array<string>").alias("tags")).orderBy("page_ref").limit(limit)
+    if index is None:
+        index = scan(pages if texts is None else texts, _wanted(pages.sparkSession, query, analyzer), analyzer)
     if query.expression is not None:
         hits, found = expression_hits(index, query.expression, pages.sparkSession)
         scored = bm25(hits, index).join(found, "page_ref", "left_semi")
@@ -311,23 +394,115 @@ def search(pages: DataFrame, index: Index | None, query: Query) -> DataFrame:
     return kept.join(scored, "page_ref").select(*HIT, F.sort_array("tags").alias("tags")).orderBy(F.desc("score"), "page_ref").limit(limit)
 
 
-def search_many(pages: DataFrame, index: Index, asked: DataFrame, limit: int = 200) -> DataFrame:
-    """J-12, O-03: for each row (query_id, terms) the ``limit`` best pages by any of its
-    distinct terms, in one job: terms meet postings, nothing is looped over."""
+#: Blocks that a term's postings are dealt to, by what they add; rows of each query that are
+#: looked at first, as many times the limit; terms that are looked up first.
+BLOCKS, FIRST, LOOKED_UP = 16, 8, 3
+#: Rows of queries with all their postings that are joined as they are: the rounds of the
+#: bounded way, in which a part of the rows is joined, cost more than that.
+PLAIN = 20_000_000
+
+
+def _blocks(weighed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(q, b, page_ref, part) with the block of each posting, by its share of the term's greatest
+    part; and of each block (q, b, peak, after, many, worth): its greatest part, that of the
+    next one, its rows, and by how much a row of it and those above lowers the peak."""
+    peaks = weighed.groupBy("q").agg(F.max("part").alias("top"))
+    rows = weighed.join(peaks, "q").select("q", F.floor(F.col("part") * BLOCKS / (F.col("top") + 1)).cast("int").alias("b"), "page_ref", "part")
+    rows = cut(rows)
+    down = Window.partitionBy("q").orderBy(F.desc("b"))
+    each = rows.groupBy("q", "b").agg(F.max("part").alias("peak"), F.count("*").alias("many"))
+    each = each.withColumn("after", F.coalesce(F.lead("peak").over(down), F.lit(0)))
+    return rows, each.withColumn("worth", F.min((F.col("peak") - F.col("after")) / F.col("many")).over(down))
+
+
+def search_many(pages: DataFrame, index: Index, asked: DataFrame, limit: int = 200, joined: list | None = None, plain: int = PLAIN) -> DataFrame:
+    """J-12, O-03: (query_id, rank, page_ref, score, page_title): for each row (query_id, terms)
+    the ``limit`` best of ``pages`` by any of its distinct terms, ties by page_ref.
+
+    Postings of a term stand in blocks by what they add to a score.  A query takes blocks in
+    the order in which they lower the sum of its terms' peaks most for their rows: some, and
+    then as many more as it needs until what is left of that sum is less than the ``limit``th
+    best page has by then, as a page that has none of these blocks can't come in.  Then the
+    pages that still may are looked up in the other blocks, in those of the terms that may
+    add most, and what is left after that in all others.  Common terms are so read for few
+    pages only.  Where all rows of queries and postings are ``plain`` at most, they are joined
+    at once; the results are the same.  ``joined``: gets the joins of queries with postings."""
+    joined = [] if joined is None else joined
     terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("q"))
-    hits = index.postings.select(F.col("term").alias("q"), "page_ref", "tf").join(terms.select("q").distinct(), "q", "left_semi")
-    # Figures of terms come from all hits; only current pages go on to meet the queries.
-    n_q = hits.groupBy("q").agg(F.count("*").alias("nq"))
-    idf = F.ln((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
-    rated = n_q.crossJoin(F.broadcast(index.corpus)).select("q", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    current = index.doc_stats.join(pages.select("page_ref", F.col("title").alias("page_title")), "page_ref")
-    # What a term gives a page is the same for every query.
-    weighed = hits.join(rated, "q").join(current, "page_ref").select("q", "page_ref", part.alias("part"))
-    scored = weighed.join(terms, "q").groupBy("query_id", "page_ref").agg(_summed(F.col("part")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_ref"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return best.join(current.select("page_ref", "page_title"), "page_ref")
+    own = terms.select("q").distinct()
+    hits = index.postings.select(F.col("term").alias("q"), "page_ref", "tf", "dl").join(own, "q", "left_semi")
+    # Weights of terms come from all their pages; only those of ``pages`` meet the queries.
+    figures = index.terms.select(F.col("term").alias("q"), F.col("df").alias("nq")).join(own, "q", "left_semi") if index.terms is not None else hits.groupBy("q").agg(F.count("*").alias("nq"))
+    weighed = hits.join(rated(figures, index).select("q", "avgdl", "idf"), "q").join(pages.select("page_ref"), "page_ref", "left_semi")
+    # What a term gives a page is the same for every query: whole units of 1e-12.
+    weighed = cut(weighed.select("q", "page_ref", F.round(_part() * 1e12).cast("long").alias("part")))
+    rows = terms.join(weighed.groupBy("q").agg(F.count("*").alias("many")), "q").agg(F.sum("many")).first()[0] or 0
+    if rows <= plain:
+        joined.append(terms.join(weighed, "q"))
+        return _ranked(joined[-1].groupBy("query_id", "page_ref").agg(F.sum("part").alias("got")), pages, limit)
+    weighed, blocks = _blocks(weighed)
+    order = Window.partitionBy("query_id").orderBy(F.desc("worth"), "q", F.desc("b"))
+    fall = F.col("peak") - F.col("after")
+    plan = terms.join(blocks, "q").withColumns({"rows": F.sum("many").over(order) - F.col("many"), "open": F.sum(fall).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    plan = cut(plan.select("query_id", "q", "b", "peak", "rows", "open"))
+
+    def bounds_of(found: DataFrame) -> DataFrame:
+        """What the ``limit``th best page of each query has, where there are so many."""
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("got")))
+        return cut(found.withColumn("place", place).where(F.col("place") == limit).select("query_id", F.col("got").alias("bound")))
+
+    def meeting(some: DataFrame) -> DataFrame:
+        joined.append(cut(some.join(weighed, ["q", "b"]).select("query_id", "q", "page_ref", "part")))
+        return joined[-1]
+
+    first = F.col("rows") < FIRST * limit
+    met = meeting(plan.where(first).select("query_id", "q", "b"))
+    bounds = bounds_of(met.groupBy("query_id", "page_ref").agg(F.sum("part").alias("got")))
+    # Blocks that are taken are the first ones of each query, as both numbers fall.
+    taken = cut(plan.join(bounds, "query_id", "left").where(first | F.col("bound").isNull() | (F.col("open") >= F.col("bound"))).select("query_id", "q", "b", "rows"))
+    met = met.unionByName(meeting(taken.where(~first).select("query_id", "q", "b")))
+    bounds = bounds_of(met.groupBy("query_id", "page_ref").agg(F.sum("part").alias("got")))
+    # Of each term the greatest part in a block that wasn't taken, and its place among these.
+    rest = plan.join(taken.drop("rows"), ["query_id", "q", "b"], "left_anti").groupBy("query_id", "q").agg(F.max("peak").alias("peak"))
+    heavy = Window.partitionBy("query_id").orderBy(F.desc("peak"), "q")
+    rest = cut(rest.withColumns({"k": F.row_number().over(heavy), "open": F.sum("peak").over(heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))}))
+    left = rest.where("k = 1").select("query_id", F.col("open").alias("whole"))
+    seen = met.join(rest.select("query_id", "q", "peak"), ["query_id", "q"], "left").groupBy("query_id", "page_ref").agg(F.sum("part").alias("got"), F.coalesce(F.sum("peak"), F.lit(0)).alias("had"))
+    found = seen.join(left, "query_id", "left").select("query_id", "page_ref", "got", (F.coalesce("whole", F.lit(0)) - F.col("had")).alias("open"))
+    found = cut(found)
+    for low, high in ((1, LOOKED_UP), (LOOKED_UP + 1, None)):
+        found = found.join(bounds, "query_id", "left").where("bound IS NULL OR got + open >= bound").drop("bound")
+        some = rest.where(F.col("k") >= low) if high is None else rest.where(F.col("k").between(low, high))
+        asks = found.where("open > 0").select("query_id", "page_ref").join(some.select("query_id", "q", "peak"), "query_id")
+        joined.append(asks.join(weighed.select("q", "page_ref", "part"), ["q", "page_ref"]).where("part <= peak"))
+        more = joined[-1].groupBy("query_id", "page_ref").agg(F.sum("part").alias("more"))
+        after = rest.where("false" if high is None else F.col("k") == high + 1).select("query_id", F.col("open").alias("after"))
+        found = found.join(more, ["query_id", "page_ref"], "left").join(after, "query_id", "left")
+        found = cut(found.select("query_id", "page_ref", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), F.least("open", F.coalesce("after", F.lit(0))).alias("open")))
+        if high is not None:
+            bounds = bounds_of(found)
+    return _ranked(found, pages, limit)
+
+
+def _ranked(found: DataFrame, pages: DataFrame, limit: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("got"), "page_ref"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best.join(pages.select("page_ref", F.col("title").alias("page_title")), "page_ref").select("query_id", "rank", "page_ref", (F.col("got") / 1e12).alias("score"), "page_title")
+
+
+def tallied(pages: DataFrame, own: DataFrame, analyzer=tokens) -> Index:
+    """An index without places of the terms (q), for one batch: the pages are read once."""
+    seen = Observation()
+    words = analyzed(pages, analyzer).observe(seen, F.count("*").alias("n"), F.sum("dl").alias("total"))
+
+    def weighing(column: str, weight: float) -> Column:
+        return F.transform(column, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+    each = words.select("page_ref", "dl", F.explode(F.concat(*[weighing(c, w) for c, w in WEIGHTS.items()])).alias("x")).select("page_ref", "dl", "x.*")
+    postings = each.join(own.select(F.col("q").alias("term")), "term", "left_semi").groupBy("term", "page_ref", "dl").agg(F.sum("w").alias("tf"))
+    postings = cut(postings)
+    corpus = pages.sparkSession.createDataFrame([(seen.get["n"], seen.get["total"] or 0)], "n long, total long")
+    return Index(postings, corpus, analyzer)
 
 
 def classify(score: Column, shares_title: Column, duplicate: float = 15.0, related: float = 5.0) -> Column:
@@ -336,10 +511,14 @@ def classify(score: Column, shares_title: Column, duplicate: float = 15.0, relat
     return F.when((score >= duplicate) & shares_title, "duplicate").when(score >= duplicate, "refines").when(score >= related, "related").otherwise("distinct")
 
 
-def discover(pages: DataFrame, index: Index, drafts: DataFrame, limit: int = 200, duplicate: float = 15.0, related: float = 5.0) -> DataFrame:
-    """Candidates for each draft (query_id, title, terms) among current pages, with hints."""
+def discover(pages: DataFrame, index: Index | None, drafts: DataFrame, limit: int = 200, duplicate: float = 15.0, related: float = 5.0, analyzer=tokens, texts: DataFrame | None = None) -> DataFrame:
+    """Candidates for each draft (query_id, title, terms) among current pages, with hints;
+    without an index ``texts``, or else the pages, are read once."""
     limit = limit if limit > 0 else 200
-    current = pages.where(F.col("superseded_by").isNull())
+    current = cut(pages.where(F.col("superseded_by").isNull()).select("page_ref", "title"))  # met twice
+    if index is None:
+        own = drafts.select(F.explode("terms").alias("q")).distinct()
+        index = tallied(pages if texts is None else texts, own, analyzer)
     found = search_many(current, index, drafts, limit).join(drafts.select("query_id", F.col("title").alias("draft_title")), "query_id")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     shares = F.arrays_overlap(words("page_title"), words("draft_title"))  # B-04

@@ -15,7 +15,7 @@ from .functions import links, stemming
 from .operators import changes, graph, logs, rawsweep, search, tags
 from .plans import ingest
 from .sources import files
-from .sources.views import edges, page_ref, pages, pages_sql, sql_ref, table
+from .sources.views import edges, page_ref, pages, pages_sql, sql_ref, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,9 +67,7 @@ def found_sql(terms: list[str], condition: str, limit: int = 20) -> str:
 
 
 def _search(spark: SparkSession, sf_dir: str, q: search.Query) -> DataFrame:
-    view = pages(spark, sf_dir)
-    index = search.build_index(view) if q.text.strip() or q.expression is not None else None
-    return search.search(view, index, q)
+    return search.search(pages(spark, sf_dir), None, q, texts=texts(spark, sf_dir))
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -212,7 +210,7 @@ def discover_batch(spark, sf_dir):
     """S-08, J-12, B-03, B-04, O-03: benchmark items as drafts, all in one job."""
     view = pages(spark, sf_dir)
     drafts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("title"), fn.discovery_terms("text").alias("terms"))
-    return search.discover(view, search.build_index(view), drafts).withColumn("score", F.round("score", 6))
+    return search.discover(view, None, drafts, texts=texts(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 # ---- scalar functions
@@ -329,10 +327,10 @@ def neighbors_two_hop(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {PAGES},
 step AS (SELECT dst AS src, min(src) AS nxt FROM edges WHERE key = 'supersedes' GROUP BY dst),
-walk(seed, chain) AS (SELECT page_ref, [page_ref] FROM pages UNION ALL SELECT seed, list_append(chain, nxt) FROM walk JOIN step ON chain[-1] = step.src)
-SELECT seed, max_by(chain[-1], len(chain)) AS active, array_to_string(max_by(chain, len(chain)), ' ') AS chain FROM walk GROUP BY seed""")
+walk(seed, last, chain) AS (SELECT page_ref, page_ref, CAST([] AS VARCHAR[]) FROM pages UNION ALL SELECT seed, nxt, list_append(chain, nxt) FROM walk JOIN step ON last = step.src)
+SELECT seed, max_by(last, len(chain)) AS active, array_to_string(max_by(chain, len(chain)), ' ') AS chain FROM walk GROUP BY seed""")
 def supersession_paths(spark, sf_dir):
-    """G-04: every page's chain, page by page."""
+    """G-04: every page's chain, page by page, without the page itself."""
     view = pages(spark, sf_dir)
     successors = edges(view).where("key = 'supersedes'").select(F.col("dst").alias("src"), F.col("src").alias("nxt"))
     return graph.paths(view.select(F.col("page_ref").alias("seed")), successors).withColumn("chain", F.array_join("chain", " "))
@@ -578,8 +576,7 @@ def move_retarget(spark, sf_dir):
 def search_stemmed(spark, sf_dir):
     """S-11, B-02: the stemmed analyzer, with snippets of the hits."""
     view = pages(spark, sf_dir)
-    index = search.build_index(view, stemming.stemmed_tokens)
-    hits = search.search(view, index, search.Query(text="things thing", match="any"))
+    hits = search.search(view, None, search.Query(text="things thing", match="any"), stemming.stemmed_tokens, texts(spark, sf_dir))
     met = hits.select("page_ref", "score").join(view.select("page_ref", "body"), "page_ref")
     return stemming.with_snippets(met, ["things"]).select("page_ref", "score", "snippet")
 

@@ -17,6 +17,16 @@ def page_ref(doc_id: Column) -> Column:
     return F.concat(F.lit("wiki/"), folder, F.lit("/"), F.lpad(doc_id.cast("string"), 8, "0"), F.lit(".md"))
 
 
+def _texts() -> list[Column]:
+    title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    return [page_ref(F.col("doc_id")).alias("page_ref"), title.alias("title"), F.substring("text", 61, 120).alias("summary"), F.col("text").alias("body")]
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_ref, title, summary, body) of the page view: one scan, without what needs other rows."""
+    return table(spark, sf_dir, "documents").select(*_texts())
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as pages (see pages_sql for the rules)."""
     d = table(spark, sf_dir, "documents")
@@ -32,10 +42,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda start, n: F.date_format(F.date_add(F.to_date(F.lit(start)), (i % n).cast("int")), "yyyy-MM-dd")
     return base.select(
         "doc_id",
-        page_ref(i).alias("page_ref"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"),
-        F.substring("text", 61, 120).alias("summary"),
-        F.col("text").alias("body"),
+        *_texts(),
         folder_kind.alias("kind"),
         F.sort_array(F.array_distinct(F.array_compact(F.array("lang", "source", quality)))).alias("tags"),
         F.when(i % 17 == 0, "").otherwise(day("2024-01-01", 365)).alias("source_date"),

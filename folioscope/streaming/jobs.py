@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import apply_delta
+from ..operators.stored import StoredIndex
 
 
 def debounce(events: DataFrame, gap: str = "30 seconds", late: str = "30 seconds") -> DataFrame:
@@ -65,44 +65,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-class Snapshots:
-    """K-05, K-07: versions of a table of pages in a folder, and which one is current.
+def indexed(feed: DataFrame, index: StoredIndex, parse: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "feed", once: bool = True, interval: str = "5 seconds") -> StreamingQuery:
+    """W-07, K-06: each batch of (page_ref, date, content, deleted) as a segment of a stored
+    index, exactly once: the version that names it has the batch's number.
 
-    A version is written whole before it is named; readers keep the one they opened."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def versions(self) -> list[int]:
-        fs, p = _fs(self.spark, self.root)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
-
-    def current(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v{found[-1]}") if found else None
-
-    def write(self, pages: DataFrame) -> None:
-        found = self.versions()
-        pages.write.mode("overwrite").parquet(f"{self.root}/v{found[-1] + 1 if found else 0}")
-
-
-def incremental(feed: DataFrame, snapshots: Snapshots, parse: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """W-07, K-06: apply each batch of (page_ref, date, content, deleted) to the snapshot.
-
-    A page whose text can't be parsed is taken out, as one that is deleted."""
+    ``parse`` gives records of (page_ref, text, git_date); a page that it leaves out is taken
+    out, as one that is deleted.  What is written goes with the batch."""
 
     def of(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("page_ref").agg(F.max_by(F.struct("date", "content", "deleted"), "date").alias("c")).select("page_ref", "c.*")
+        last = batch.groupBy("page_ref").agg(F.max_by(F.struct("content", "date", "deleted"), F.struct("date", ~F.col("deleted"))).alias("c")).select("page_ref", "c.*")
         parsed = parse(last.where("NOT deleted").select("page_ref", F.col("content").alias("text"), F.when(F.col("date") != "", F.col("date")).alias("git_date")))
-        old = snapshots.current()
-        if old is None:
-            snapshots.write(parsed)
-            return
-        delta = last.select("page_ref").join(parsed, "page_ref", "left").join(parsed.select("page_ref", F.lit(False).alias("deleted")), "page_ref", "left")
-        snapshots.write(apply_delta(old, delta.withColumn("deleted", F.coalesce("deleted", F.lit(True)))))
-
-    return feed.writeStream.foreachBatch(of).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        changed = last.select("page_ref").join(parsed.withColumn("there", F.lit(True)), "page_ref", "left")
+        index.apply(changed.withColumn("deleted", F.col("there").isNull()).drop("there"), name, number)
+
+    w = feed.writeStream.foreachBatch(of).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()

@@ -6,7 +6,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.engine import Engine
 from folioscope.operators import changes, graph, logs, rawsweep
+from folioscope.operators.stored import StoredIndex
 from folioscope.plans import ingest
 from folioscope.sources import files, git
 from folioscope.streaming import jobs
@@ -179,7 +181,27 @@ def test_paths_end_before_a_page_that_repeats(spark):
     steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "d")], "src string, nxt string")
     seeds = spark.createDataFrame([("a",), ("d",), ("x",), ("a",)], "seed string")
     got = sorted((r.seed, r.active, tuple(r.chain)) for r in graph.paths(seeds, steps).collect())
-    assert got == [("a", "c", ("a", "b", "c"))] * 2 + [("d", "d", ("d",)), ("x", "x", ("x",))]
+    assert got == [("a", "c", ("b", "c"))] * 2 + [("d", "d", ()), ("x", "x", ())]
+
+
+def test_a_thousand_pages_and_a_cycle_have_whole_chains(spark):
+    """In log n joins; chains that join another one or run into a cycle, from every page."""
+    steps = [(f"{i:04}", f"{i + 1:04}") for i in range(1000)] + [(f"m{i}", f"m{i + 1}") for i in range(4)] + [("m4", "0990")]
+    steps += [(f"c{i}", f"c{(i + 1) % 7}") for i in range(7)] + [("t0", "t1"), ("t1", "c3")]
+    nxt = dict(steps)
+
+    def walked(seed):
+        out = []
+        while (last := out[-1] if out else seed) in nxt and nxt[last] not in [seed, *out]:
+            out.append(nxt[last])
+        return tuple(out)
+
+    seeds = [*nxt, "1000"]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {r.seed: (r.active, tuple(r.chain)) for r in graph.paths(df([(x,) for x in seeds], "seed string"), df(steps, "src string, nxt string")).collect()}
+    assert got == {x: ((walked(x) or (x,))[-1], walked(x)) for x in seeds}
+    ends = {r.seed: (r.active, r.hops) for r in graph.chains(df([(x,) for x in seeds], "seed string"), df(steps, "src string, nxt string")).collect()}
+    assert ends == {x: (a, len(c)) for x, (a, c) in got.items()}
 
 
 def test_debounce_stream_is_the_batch(spark, tmp_path):
@@ -218,13 +240,13 @@ def test_git_feed_and_incremental_index(spark, repo, tmp_path):
     spark.dataSource.register(git.GitPages)
     read = lambda **o: sorted((r.page_ref[-4:-3], r.date, r.deleted) for r in spark.read.format("git_pages").options(root=root, **o).load().collect())
     assert read() == [("a", "2024-01-02", False), ("b", "2024-01-02", False), ("c", "2024-01-02", False)]
-    parse = lambda p: files.records(p.select("page_ref", "text")).select("page_ref", "title", "body")
-    snapshots = jobs.Snapshots(spark, str(tmp_path / "index"))
+    parse = Engine._records
+    index = StoredIndex(spark, str(tmp_path / "index"))
 
     def sync():
         feed = spark.readStream.format("git_pages").options(root=root).load()
-        jobs.incremental(feed, snapshots, parse, str(tmp_path / "ck")).awaitTermination()
-        return sorted((r.page_ref[-4:-3], r.title) for r in snapshots.current().collect())
+        jobs.indexed(feed, index, parse, str(tmp_path / "ck")).awaitTermination()
+        return sorted((r.page_ref[-4:-3], r.title) for r in index.pages(index.version()).collect())
 
     assert sync() == [("a", "A"), ("b", "B"), ("c", "C")]
     commit("2024-03-04T00:00:00Z", a="---\ntitle: A2\n---\nx", b=None, c="---\ntitle: [\n---\n", d="---\ntitle: D\n---\n")
