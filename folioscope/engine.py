@@ -142,8 +142,9 @@ class Engine:
         hits = search.search(view, index, q, self.analyzer)
         if not ranked:
             return hits.withColumn("snippet", F.lit(None).cast("string"))
-        words = q.text.split() if q.expression is None else [w for p in search._leaves(q.expression) for w in p.text.split()]
-        return stemming.with_snippets(hits.join(view.select("page_ref", "body"), "page_ref"), words).drop("body").orderBy(F.desc("score"), "page_ref")
+        leaves = [search.Phrase(w) for w in search.words_of(q.text)] if q.expression is None else search._leaves(q.expression)
+        met = hits.join(view.select("page_ref", "body"), "page_ref")
+        return stemming.with_snippets(met, [p.text for p in leaves], [p.prefix for p in leaves]).drop("body").orderBy(F.desc("score"), "page_ref")
 
     def discover(self, drafts: DataFrame, **how) -> DataFrame:
         """Candidates for drafts (query_id, title, summary, body)."""

@@ -45,21 +45,27 @@ def _cvc(w: str) -> bool:
 
 
 def _swap(w: str, table: dict[str, str], least: int) -> str:
-    for s in sorted((s for s in table if w.endswith(s)), key=len, reverse=True)[:1]:
+    for s in sorted((s for s in table if w.endswith(s) and w != s), key=len, reverse=True)[:1]:
         return w[: -len(s)] + table[s] if _measure(w[: -len(s)]) > least else w
     return w
 
 
 @lru_cache(maxsize=200_000)
-def stem(w: str) -> str:
-    if len(w) < 3:
-        return w
-    if w.endswith("sses") or w.endswith("ies") and len(w) > 3:
+def stem(word: str) -> str:
+    """Of the word's bytes in UTF-8, so that what is short, double or a consonant is told as
+    where the algorithm runs on bytes; words of under 3 bytes or over 64 stay."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return word if not 3 <= len(raw) <= 64 else _stem(raw.decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+
+
+def _stem(w: str) -> str:
+    # A suffix is always shorter than the word.
+    if w.endswith("sses") and len(w) > 4 or w.endswith("ies") and len(w) > 3:
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     cut = None
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         w = w[:-1] if _measure(w[:-3]) > 0 else w
     elif w.endswith("ed") and _has_vowel(w[:-2]):
         cut = w[:-2]
@@ -71,7 +77,7 @@ def stem(w: str) -> str:
         w = w[:-1] + "i"
     w = _swap(_swap(w, _STEP2, 0), _STEP3, 0)
     for s in _STEP4:
-        if w.endswith(s):
+        if w.endswith(s) and w != s:
             head = w[: -len(s)]
             if _measure(head) > 1 and (s != "ion" or head[-1:] in ("s", "t")):
                 w = head
@@ -89,7 +95,7 @@ def fold(text: str) -> str:
 
 
 def analyze(text: str) -> list[str]:
-    return [stem(w) if w.isascii() or w.isalpha() else w for w in _RUN.findall(fold(text))]
+    return [stem(w) for w in _RUN.findall(fold(text))]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -98,23 +104,53 @@ def stemmed_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: analyze(t or ""))
 
 
-def snippet(body: str, terms: set[str], size: int = 12) -> str:
-    """B-02: a window of ``size`` tokens around the first token that is a term, from the
-    start if there is none, with an ellipsis on each side that is cut."""
+def snippet(body: str, phrases: list[tuple[tuple[str, ...], bool]], size: int = 12) -> str:
+    """B-02: the window of ``size`` tokens that covers the phrases best, with an ellipsis on each
+    side that is cut; the text's start if it has none.  A phrase is its tokens, and whether
+    the last one may go on.
+
+    A distinct phrase in a window counts 1000, each further place of it 1.  Windows stand
+    around what they hold from each place of a phrase on; or begin with the sentence that the
+    place is in, which counts 100, and 120 where that is the text's first."""
     spans = [(m.start(), m.end()) for m in _RUN.finditer(body)]
-    words = [stem(fold(body[a:b])) for a, b in spans]
-    hit = next((i for i, w in enumerate(words) if w in terms), None)
     if not spans:
         return body
-    first = 0 if hit is None else max(0, min(hit - (size - 1) // 2, len(spans) - size))
-    last = min(len(spans), first + size)
+    words = [stem(fold(body[a:b])) for a, b in spans]
+    n = len(words)
+
+    def here(i: int, tokens: tuple[str, ...], open_ended: bool) -> bool:
+        last = i + len(tokens) - 1
+        same = last < n and words[i:last] == list(tokens[:-1])
+        return same and (words[last].startswith(tokens[-1]) if open_ended else words[last] == tokens[-1])
+
+    places = sorted((i, k, len(t)) for k, (t, p) in enumerate(phrases) if t for i in range(n) if here(i, t, p))
+    sentences = [0] + [i for i in range(1, n) if re.search(r"[.:][ \t\n\r]+\Z", body[max(0, spans[i - 1][1]) : spans[i][0]])]
+
+    def held(start: int) -> tuple[int, list[tuple[int, int, int]]]:
+        some = [p for p in places if start <= p[0] < start + size]
+        distinct = len({k for _, k, _ in some})
+        return 1000 * distinct + len(some) - distinct, some
+
+    best, first = 0, 0
+    for i, _, _ in places:
+        score, some = held(i)
+        if score > best:
+            spare = size - (some[-1][0] + some[-1][2] - some[0][0])
+            # Half of what is left goes before, towards zero where it is too little.
+            best, first = score, max(0, min(some[0][0] - int(spare / 2), n - size))
+        sentence = max(s for s in sentences if s <= i)
+        if sentence < i and n > size:
+            score = held(sentence)[0] + (100 if sentence else 120)
+            if score > best:
+                best, first = score, sentence
+    last = min(n, first + size)
     head = "" if first == 0 else "…"
-    return head + body[0 if first == 0 else spans[first][0] : len(body) if last == len(spans) else spans[last - 1][1]] + ("" if last == len(spans) else "…")
+    return head + body[0 if first == 0 else spans[first][0] : len(body) if last == n else spans[last - 1][1]] + ("" if last == n else "…")
 
 
-def with_snippets(hits, terms: list[str]):
-    """The hits, a bounded top-k, with a snippet of their body."""
-    wanted = {stem(fold(t)) for t in terms}
+def with_snippets(hits, texts: list[str], prefixes: list[bool] | None = None):
+    """The hits, a bounded top-k, with a snippet of their body around the phrases of the texts."""
+    wanted = [(tuple(analyze(t)), p) for t, p in zip(texts, prefixes or [False] * len(texts), strict=True)]
     make = F.pandas_udf(lambda body: body.map(lambda b: snippet(b or "", wanted)), "string")
     return hits.withColumn("snippet", make("body"))
 
