@@ -255,14 +255,17 @@ class Engine:
             with open(path, "a", encoding="utf-8") as f:
                 f.write(f"{pattern}  # {comment}\n" if comment else f"{pattern}\n")
 
-    def raw_events(self) -> DataFrame:
-        """W-01: a stream of (rel, ts): files below ``raw`` as they appear or change."""
-        return files.raw_stream(self.spark, self.root)
+    def raw_events(self, state: str, interval: str = "2 seconds") -> DataFrame:
+        """W-01: a stream of (rel, change, ts): files below ``raw`` that were created, changed
+        or are gone, from listings kept in ``state``; what is there at first is no event.  The
+        query that lists goes on with the session's other streams."""
+        jobs.list_changes(self.spark, lambda: files.raw_files(self.spark, self.root), state, interval)
+        return jobs.change_stream(self.spark, state)
 
     def watch(self, queue: str, checkpoint: str, events: DataFrame | None = None, **how):
         """W-02 to W-06: settled files that a sweep finds eligible go to the queue."""
-        settled = jobs.debounce(events if events is not None else self.raw_events())
-        return jobs.watch(settled, self.scan_raw, queue, checkpoint, **how)
+        settled = jobs.debounce(events if events is not None else self.raw_events(f"{checkpoint}/changes"))
+        return jobs.watch(settled, self.scan_raw, queue, f"{checkpoint}/watch", **how)
 
     def init(self) -> None:
         """K-13: the folders of a new collection."""

@@ -30,14 +30,6 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     return named.where(~F.element_at(F.split("raw_rel", "/"), -1).isin(*SKIPPED))
 
 
-def raw_stream(spark: SparkSession, root: str) -> DataFrame:
-    """W-01: a stream of (rel, ts) of files below ``raw``, by the time of their last change."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(f"{root}/raw")
-    named = found.select(_below(root, F.col("path")).alias("rel"), F.col("modificationTime").alias("ts"))
-    return named.where(~F.element_at(F.split("rel", "/"), -1).isin(*SKIPPED))
-
-
 def policies(spark: SparkSession, root: str) -> DataFrame:
     """R-17, F-10: (folder, pattern) of the policy files below ``raw``.
 
@@ -59,11 +51,6 @@ def json_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("trim(value) <> '' AND r IS NOT NULL AND r._bad IS NULL").select("file", "seq", "r.tool", "r.tool_use_id", "r.prompt_id", "r.agent_id", "r.agent_type", "r.duration_ms")
 
 
-def queue(spark: SparkSession, path: str) -> DataFrame:
-    """R-16: the lines of a queue, empty ones left out."""
-    return spark.read.text(path).select(F.col("value").alias("rel")).where("rel <> ''")
-
-
 def records(pages: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
     """P-02, P-03, P-10, P-12: (page_ref, frontmatter as JSON, body, bad) of (page_ref, text).
 

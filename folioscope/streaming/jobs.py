@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,8 @@ def watch(settled: DataFrame, sweep: Callable[[], DataFrame], queue: str, checkp
         try:
             found = batch.select("rel").distinct().join(sweep().select(F.col("raw_rel").alias("rel")), "rel", "left_semi")
             if _exists(spark, queue):
-                found = found.join(spark.read.parquet(queue).select("rel"), "rel", "left_anti")
-            found.write.mode("append").parquet(queue)
+                found = found.join(pending(spark, queue), "rel", "left_anti")
+            _enter(found, False, queue)
         except Exception as e:  # noqa: BLE001  the contract is to go on
             print(json.dumps({"batch": number, "sweep_failed": str(e)[:500]}))
 
@@ -40,18 +42,64 @@ def watch(settled: DataFrame, sweep: Callable[[], DataFrame], queue: str, checkp
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
 
 
+def _enter(rows: DataFrame, done: bool, queue: str) -> None:
+    """Entries in a folder of their own, so that writers don't meet."""
+    rows.select("rel", F.lit(done).alias("done"), F.lit(time.time_ns()).alias("at")).write.parquet(f"{queue}/{uuid.uuid4().hex}")
+
+
+def pending(spark: SparkSession, queue: str) -> DataFrame:
+    """R-16: (rel) of the files in the queue, each once."""
+    last = spark.read.schema("rel string, done boolean, at long").option("recursiveFileLookup", "true").parquet(queue).where("rel <> ''").groupBy("rel").agg(F.max_by("done", F.struct("at", "done")).alias("done"))
+    return last.where("NOT done").select("rel")
+
+
 def remove(spark: SparkSession, queue: str, done: DataFrame) -> None:
     """K-09: take the files done, all occurrences, out of the queue.
 
-    What stays is written beside the queue and then takes its name; a watch that appends
-    meanwhile must be stopped first, as a queue has one writer."""
-    rest = f"{queue}.rest"
-    spark.read.parquet(queue).join(done.select("rel"), "rel", "left_anti").write.mode("overwrite").parquet(rest)
-    fs, here = _fs(spark, queue)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.rename(here, path(f"{queue}.old"))
-    fs.rename(path(rest), here)
-    fs.delete(path(f"{queue}.old"), True)
+    The queue is a log of what came and what is done, of which a file's last entry counts:
+    taking out is one entry more, so no moment is without a queue, a run that breaks off leaves
+    it as it was, and a watch may append meanwhile."""
+    _enter(done.select("rel").distinct(), True, queue)
+
+
+def file_changes(spark: SparkSession, listed: Callable[[], DataFrame], state: str, number: int) -> DataFrame:
+    """W-01: (rel, change, ts): what was created, changed or gone since the listing before.
+
+    ``listed`` gives (raw_rel, length, modified).  Listings are kept below ``state`` by number: one
+    that is there already is taken as it is, so a run that is repeated finds the same, and
+    the first one finds nothing.  Two listings before are removed."""
+    here = f"{state}/listings/{number}"
+    if not _exists(spark, f"{here}/_SUCCESS"):
+        listed().select(F.col("raw_rel").alias("rel"), "length", "modified").write.mode("overwrite").parquet(here)
+    now = spark.read.parquet(here)
+    fs, p = _fs(spark, f"{state}/listings")
+    earlier = sorted(int(n) for n in (s.getPath().getName() for s in fs.listStatus(p)) if int(n) < number and _exists(spark, f"{state}/listings/{n}/_SUCCESS"))
+    for n in earlier[:-2]:
+        fs.delete(_fs(spark, f"{state}/listings/{n}")[1], True)
+    before = spark.read.parquet(f"{state}/listings/{earlier[-1]}") if earlier else now
+    old = before.select(F.col("rel").alias("r"), F.col("length").alias("l"), F.col("modified").alias("m"))
+    met = now.join(old, F.col("rel") == F.col("r"), "full")
+    change = F.when(F.col("r").isNull(), "created").when(F.col("rel").isNull(), "gone").when((F.col("length") != F.col("l")) | (F.col("modified") != F.col("m")), "changed")
+    return met.select(F.coalesce("rel", "r").alias("rel"), change.alias("change"), F.current_timestamp().alias("ts")).where("change IS NOT NULL")
+
+
+def list_changes(spark: SparkSession, listed: Callable[[], DataFrame], state: str, interval: str = "2 seconds") -> StreamingQuery:
+    """W-01: a listing each interval, with what it shows as files of ``state``/events, once."""
+
+    def of(batch: DataFrame, number: int) -> None:
+        to = f"{state}/events/{number}"
+        if not _exists(batch.sparkSession, f"{to}/_SUCCESS"):
+            file_changes(batch.sparkSession, listed, state, number).write.mode("overwrite").parquet(to)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(of).option("checkpointLocation", f"{state}/checkpoint").trigger(processingTime=interval).start()
+
+
+def change_stream(spark: SparkSession, state: str) -> DataFrame:
+    """The stream of (rel, change, ts) that list_changes writes."""
+    fs, p = _fs(spark, f"{state}/events")
+    fs.mkdirs(p)
+    return spark.readStream.schema("rel string, change string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{state}/events")
 
 
 def _fs(spark: SparkSession, path: str):

@@ -1,7 +1,9 @@
 """Graph, sweep, logs, change feeds, plans and streams on small inputs."""
 
 import json
+import os
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,9 +155,66 @@ def test_lists_of_plans_are_merged_and_links_encoded(spark):
 
 
 def test_queue_rows_are_removed(spark, tmp_path):
-    spark.createDataFrame([("a",), ("b",), ("a",)], "rel string").write.parquet(str(tmp_path / "q"))
-    jobs.remove(spark, str(tmp_path / "q"), spark.createDataFrame([("a",)], "rel string"))
-    assert [r.rel for r in spark.read.parquet(str(tmp_path / "q")).collect()] == ["b"]
+    q, rows = str(tmp_path / "q"), lambda *r: spark.createDataFrame([(x,) for x in r], "rel string")
+    there = lambda: sorted(r.rel for r in jobs.pending(spark, q).collect())
+    jobs._enter(rows("a", "b", "a", ""), False, q)
+    assert there() == ["a", "b"]
+    jobs.remove(spark, q, rows("a", "c"))
+    assert there() == ["b"]
+    # An entry that didn't get to its end leaves the queue as it was.
+    (tmp_path / "q/x/_temporary/0").mkdir(parents=True)
+    (tmp_path / "q/x/_temporary/0/part-0.parquet").write_bytes(b"broken")
+    assert there() == ["b"]
+    jobs._enter(rows("a"), False, q)
+    assert there() == ["a", "b"]
+
+
+def test_edits_and_removals_are_events(spark, tmp_path):
+    """W-01: the first listing gives none; a run that is repeated gives the same."""
+    raw, state = tmp_path / "v/raw/n", str(tmp_path / "state")
+    raw.mkdir(parents=True)
+    listed = lambda: files.raw_files(spark, str(tmp_path / "v"))
+    found = lambda k: sorted((r.rel, r.change) for r in jobs.file_changes(spark, listed, state, k).collect())
+    (raw / "a.txt").write_text("a")
+    (raw / "b.txt").write_text("b")
+    assert found(0) == []
+    (raw / "a.txt").write_text("longer")
+    (raw / "b.txt").unlink()
+    (raw / "c d.txt").write_text("c")
+    want = [("raw/n/a.txt", "changed"), ("raw/n/b.txt", "gone"), ("raw/n/c d.txt", "created")]
+    assert found(1) == want
+    (raw / "e.txt").write_text("e")
+    assert found(1) == want  # from the listing that is kept
+    os.utime(raw / "a.txt", (1e9, 1e9))
+    assert found(2) == [("raw/n/a.txt", "changed"), ("raw/n/e.txt", "created")] and found(3) == []
+
+
+def test_changes_are_streamed_and_go_on_after_a_restart(spark, tmp_path):
+    raw, state = tmp_path / "v/raw", str(tmp_path / "state")
+    raw.mkdir(parents=True)
+    listed = lambda: files.raw_files(spark, str(tmp_path / "v"))
+    (raw / "a.txt").write_text("a")
+
+    def run(done, name):
+        lister = jobs.list_changes(spark, listed, state, "1 second")
+        reader = jobs.change_stream(spark, state).select("rel", "change").writeStream.format("memory").queryName(name).start()
+        try:
+            for _ in range(120):
+                time.sleep(0.5)
+                if done(sorted(map(tuple, spark.table(name).collect()))):
+                    return True
+        finally:
+            lister.stop()
+            reader.stop()
+
+    def edit(got):
+        if os.path.exists(f"{state}/events/0/_SUCCESS") and not got:
+            (raw / "a.txt").write_text("edited")
+        return got == [("raw/a.txt", "changed")]
+
+    assert run(edit, "one")
+    (raw / "a.txt").unlink()  # while nothing runs
+    assert run(lambda got: got[-1:] == [("raw/a.txt", "gone")], "two")
 
 
 def test_a_failed_sweep_is_told_and_the_watch_goes_on(spark, tmp_path, capsys):
@@ -263,4 +322,4 @@ def test_watch_appends_each_file_once(spark, tmp_path):
     sweep = lambda: spark.createDataFrame([("raw/a",)], "raw_rel string")
     for k in (1, 2):
         jobs.watch(stream(), sweep, str(tmp_path / "queue"), str(tmp_path / f"c{k}"), once=True).awaitTermination()
-    assert [r.rel for r in spark.read.parquet(str(tmp_path / "queue")).collect()] == ["raw/a"]
+    assert [r.rel for r in jobs.pending(spark, str(tmp_path / "queue")).collect()] == ["raw/a"]
