@@ -23,15 +23,39 @@ QUESTIONS = {
     "what uses it": ("source", "in"),
     "what is related to it": ("related", "both"),
 }
+#: The shape that is answered by a path, source and then raw_source, each outbound.
+EVIDENCE = "what the evidence for it is"
 
 
 def answers(seeds: DataFrame, edges: DataFrame, question: str, hops: int = 1, budget: int | None = None) -> DataFrame:
     """G-06: (seed, page_ref, hop) by the edge of a question's shape; all typed edges but
-    ``source``, both ways, for a shape that isn't among QUESTIONS."""
+    ``source``, both ways, for a shape that isn't among QUESTIONS.  EVIDENCE: the pages a page
+    draws on (hop 1) and the raw files these stand for (hop 2)."""
+    if question == EVIDENCE:
+        return _evidence(seeds, edges, budget)
     key, way = QUESTIONS.get(question, (None, "both"))
     return neighbours(seeds, edges, hops, (key,) if key else None, way, budget)
 
 
+def _evidence(seeds: DataFrame, edges: DataFrame, budget: int | None) -> DataFrame:
+    def out(of: DataFrame, key: str, hop: int) -> DataFrame:
+        some = edges.where(F.col("key") == key).select("src", "dst")
+        return of.join(some, of["page_ref"] == some["src"]).select("seed", F.col("dst").alias("page_ref"), F.lit(hop).alias("hop")).distinct()
+
+    own = seeds.select("seed", F.col("seed").alias("page_ref"), F.lit(0).alias("hop")).distinct()
+    drawn = out(own, "source", 1)
+    return _least(own.union(drawn).union(out(drawn, "raw_source", 2)), budget)
+
+
+def _least(found: DataFrame, budget: int | None) -> DataFrame:
+    """The least hop of each; of each seed the first ``budget`` by hop and ref."""
+    least = found.groupBy("seed", "page_ref").agg(F.min("hop").alias("hop"))
+    if budget is None:
+        return least
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "page_ref"))
+    return least.withColumn("place", place).where(F.col("place") <= budget).drop("place")
+
+
 def inverted(edges: DataFrame, key: str = "supersedes") -> DataFrame:
     """G-01, G-02: (dst, all_sources, first_source) of a key; self edges don't count (Q-08)."""
     some = edges.where((F.col("key") == key) & (F.col("src") != F.col("dst")))
@@ -114,11 +138,7 @@ def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 2, keys: tuple[st
     for hop in range(1, hops + 1):
         last = last.join(ways, last["page_ref"] == ways["a"]).select("seed", F.col("b").alias("page_ref"), F.lit(hop).alias("hop")).distinct()
         found = found.union(last)
-    least = found.groupBy("seed", "page_ref").agg(F.min("hop").alias("hop"))
-    if budget is None:
-        return least
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "page_ref"))
-    return least.withColumn("place", place).where(F.col("place") <= budget).drop("place")
+    return _least(found, budget)
 
 
 def provenance(edges: DataFrame) -> DataFrame:

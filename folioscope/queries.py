@@ -6,6 +6,7 @@ Each query runs over its whole tables.  SQL is DuckDB's, over the same page view
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .functions import links, stemming
 from .operators import changes, graph, logs, rawsweep, search, tags
 from .plans import ingest
 from .sources import files
+from .sources.session import cut
 from .sources.views import edges, page_ref, pages, pages_sql, sql_ref, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,6 +345,25 @@ def question_shape(spark, sf_dir):
     return graph.answers(view.select(F.col("page_ref").alias("seed")), edges(view), "what refines it")
 
 
+def shapes_sql() -> str:
+    """Of each shape's edge the pages it leads to; those of the evidence by two edges."""
+    one = "SELECT '{q}' AS question, {a} AS seed, {b} AS page_ref, 1 AS hop FROM edges WHERE key = '{key}'"
+    each = [one.format(q=q, a=a, b=b, key=key) for q, (key, way) in graph.QUESTIONS.items() for a, b in (("src", "dst"), ("dst", "src")) if way == "both" or (way == "out") == (a == "src")]
+    each += [one.format(q=graph.EVIDENCE, a="src", b="dst", key="source")]
+    each += [f"SELECT '{graph.EVIDENCE}', s.src, r.dst, 2 FROM edges s JOIN edges r ON s.dst = r.src WHERE s.key = 'source' AND r.key = 'raw_source'"]
+    each += [f"SELECT '{q}', page_ref, page_ref, 0 FROM pages" for q in (*graph.QUESTIONS, graph.EVIDENCE)]
+    return f"WITH {PAGES}, found AS ({' UNION ALL '.join(each)}) SELECT question, seed, page_ref, min(hop) AS hop FROM found WHERE seed IN (SELECT page_ref FROM pages) GROUP BY question, seed, page_ref"
+
+
+@query(shapes_sql())
+def question_shapes(spark, sf_dir):
+    """G-06: all eleven shapes of a question, of every page."""
+    view = pages(spark, sf_dir)
+    seeds, own = cut(view.select(F.col("page_ref").alias("seed"))), cut(edges(view))  # met by each shape
+    each = [graph.answers(seeds, own, q).select(F.lit(q).alias("question"), "seed", "page_ref", "hop") for q in (*graph.QUESTIONS, graph.EVIDENCE)]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @query(f"WITH {PAGES} SELECT s.src AS page_ref, s.dst AS stub, r.dst AS raw FROM edges s JOIN edges r ON s.dst = r.src WHERE s.key = 'source' AND r.key = 'raw_source'")
 def provenance_path(spark, sf_dir):
     """G-08."""
