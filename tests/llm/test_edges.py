@@ -227,3 +227,36 @@ def test_large_components_are_summed_whole():
     block = topk.Block(index(big))
     q = np.array([2**30, -(2**30), 1], np.int64)
     assert block.top(q, -1, 2) == [(int(sum(int(a) * int(b) for a, b in zip(big[1], q, strict=True))), 1), (int(sum(int(a) * int(b) for a, b in zip(big[0], q, strict=True))), 0)]
+
+
+def test_the_mix_is_the_same_by_a_shuffle(spark, monkeypatch):
+    """The plan of many sources meets the documents in a shuffle, that of few is sent to them."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["hot", "hot", "b", None, f"s{rng.randrange(30)}"]), "w " * rng.randint(0, 30)) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (5, "hot", "w w"), (None, "b", None)], "doc_id long, source string, text string")
+    got = {}
+    for small, salts in ((50_000, 64), (0, 64), (0, 3)):
+        monkeypatch.setattr(mixing, "SMALL", small)
+        monkeypatch.setattr(mixing, "SALTS", salts)
+        got[small, salts] = sorted(map(str, mixing.mix(docs).collect()))
+    assert len(got[0, 3]) == 602 and got[0, 3] == got[0, 64] == got[50_000, 64]
+
+
+@pytest.mark.parametrize("which", [topk, ann])
+def test_searches_take_odd_rows(spark, which):
+    """Null, short, long, zero and non-finite vectors, repeated ones and clashing names."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist(), 1) for i in range(120)]
+    rows += [(200, None, 1), (201, [1.0, None] + [0.0] * 6, 1), (202, [float("nan")] * 8, 1), (203, [1.0] * 7, 1), (204, rows[7][1], 1), (205, rows[7][1], 1), (206, [0.0] * 8, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(c) for c in ("rank", "score", "query_id", "block", "bin", "list", "part", "term")})
+    out = which.search(vectors).collect()
+    left_out = {200, 201, 202, 203} | ({206} if which is ann else set())
+    assert out and not left_out & ({r.query_id for r in out} | {r.vec_id for r in out})
+    by = {}
+    for r in out:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, found in by.items():
+        found.sort()
+        assert [k for k, _, _ in found] == list(range(1, len(found) + 1)) and q not in {v for _, v, _ in found}
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+    assert which.search(vectors.where("false")).count() == 0
