@@ -6,11 +6,12 @@ alike as that miss all with a chance of 7 in a million.  Every candidate is veri
 on the whole sets.  Equal sets are one class, so copies cost one row.
 
 First each class is compared with one class of each of its keys, so a large group
-costs rows in proportion to it.  Then classes that this left apart from the one that
-stands for the key are compared with all others of the key that they are not yet
-connected to, but for pairs of which too many min-hashes differ: of texts as alike as
-that ``FAR`` or more differ with a chance of 1 in a million.  So what shares a key is
-in the end told apart, compared or connected.
+costs rows in proportion to it.  Where this left a key's classes apart, an exact filter
+takes over: shingles are ordered from rare to common among these classes, and the first
+one that two alike sets share stands so early in both that what follows suffices for the
+similarity.  From a shingle's place follows the largest set it may share with, so classes
+meet by shingle and size, and only where they are not yet connected.  No pair that shares a
+key is lost, and copies that differ too much from their common text meet nobody by it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ SHINGLE = 5
 ALIKE = (4, 5)  # 0.8, as whole numbers
 BANDS = 30
 ROWS = 5
-#: Bits kept of each min-hash, and of how many min-hashes they may not all differ.
-PLANES = 4
-FAR = 53
+#: Ratio of the sizes of sets that are looked up together.
+STEP = 1.02
 #: Bits of the sieve, 8 MB.
 SIEVE = 1 << 26
 _RNG = np.random.default_rng(11)
@@ -61,42 +61,25 @@ def keys(m: np.ndarray) -> np.ndarray:
     return ((m.reshape(BANDS, ROWS) * _MIX[:, :ROWS]).sum(1, dtype=np.uint64) ^ _MIX[:, ROWS]).view(np.int64)
 
 
-def planes(m: np.ndarray) -> np.ndarray:
-    """Some bits of the min-hashes, the first ones of all in whole numbers, then the second ones."""
-    if not len(m):
-        return np.zeros(0, np.int64)
-    bits = (m >> np.arange(20, 20 + PLANES, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
-    return np.packbits(np.pad(bits, ((0, 0), (0, -len(m) % 64))), axis=1).view(np.int64).ravel()
-
-
-def _differing(x: str, y: str) -> str:
-    """How many min-hashes differ by their bits in two columns of ``planes``."""
-    words = -(-BANDS * ROWS // 64)
-    one = lambda w: " | ".join(f"({x}[{p * words + w}] ^ {y}[{p * words + w}])" for p in range(PLANES))
-    return " + ".join(f"bit_count({one(w)})" for w in range(words))
-
-
 def sketches(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, th, fp, sh, n, keys, bits): simhash.fingerprints with a hash of the set of
-    shingles, its size, its keys and bits of its min-hashes."""
+    """(doc_id, th, fp, sh, n, keys): simhash.fingerprints with a hash of the set of
+    shingles, its size and its keys."""
 
     def make():
         def of(batch):
-            cols: dict = {"fp": [], "sh": [], "n": [], "keys": [], "bits": []}
+            cols: dict = {"fp": [], "sh": [], "n": [], "keys": []}
             for t in batch["text"].to_pylist():
                 h = grams(t)
                 cols["fp"].append(fingerprint(t, shingle))
                 cols["sh"].append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 cols["n"].append(len(h))
-                m = least(h)
-                cols["keys"].append(keys(m))
-                cols["bits"].append(planes(m))
+                cols["keys"].append(keys(least(h)))
             return {c: batch[c] for c in ("doc_id", "th")} | cols | {c: np.array(cols[c], np.uint64).view(np.int64) for c in ("fp", "sh")}
 
         return of
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return map_batches(rows, make, f"doc_id {docs.schema[key].dataType.simpleString()}, th long, fp long, sh long, n int, keys array<long>, bits array<long>")
+    return map_batches(rows, make, f"doc_id {docs.schema[key].dataType.simpleString()}, th long, fp long, sh long, n int, keys array<long>")
 
 
 def _sieve(hashes: DataFrame) -> np.ndarray:
@@ -109,13 +92,12 @@ def _sieve(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """(sh, grams) of the classes in ``pairs``, from one text of each.
+def _sets(docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+    """(sh, grams) of the classes (sh, one), from one text of each.
 
     Texts don't move: a sieve tells where they are read which may be asked for, and their
     grams meet the classes, by row, exactly."""
-    asked = pairs.select(F.col("a").alias("sh")).union(pairs.select("b")).distinct()
-    asked = cut(classes.join(asked, "sh").select("sh", "one.*"))
+    asked = cut(classes.select("sh", "one.*"))
     rows = docs.select(F.col(key).alias("i"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("i", "t"))
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(asked.select(F.xxhash64("doc_id", "th").alias("h"))))
@@ -135,18 +117,48 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key:
     return cut(met.select("sh", "grams").dropDuplicates(["sh"]))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that are alike."""
-    sets = _sets(docs, classes, pairs, text, key)
     met = pairs.join(sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb")), "b")
     both, (num, den) = F.size(F.array_intersect("ga", "gb")), ALIKE
     return cut(met.withColumn("both", both).where(f"both * {den} >= (size(ga) + size(gb) - both) * {num}").select("a", "b"))
 
 
+def _filed(sets: DataFrame) -> DataFrame:
+    """(sh, r, n, g, low, high): the shingles by which each of the sets (sh, grams, r) can be
+    alike to another one of them, and the sizes of sets that it can be alike to by it.
+
+    Alike sets of m and n shingles share num / (num + den) of m + n at least, and no more
+    than stand in either from their first common shingle on.  A shingle of one set alone
+    comes before all others and is only counted."""
+    num, den = ALIKE
+    each = sets.select("sh", F.explode("grams").alias("g"))
+    held = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(held, "g").groupBy("sh").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    rows = sets.select("sh", "r", F.size("grams").alias("n")).join(shared, "sh").withColumn("alone", F.expr("n - size(shared)"))
+    # What is left from the last place on is num / den of the set.
+    early = F.expr(f"slice(shared, 1, greatest(0, n - cast(ceil(n * {num} / {den}) AS int) + 1 - alone))")
+    rows = rows.select("sh", "r", "n", "alone", F.posexplode(early).alias("at", "s"))
+    rows = rows.select("sh", "r", "n", F.col("s.g").alias("g"), F.expr(f"cast(ceil(n * {num} / {den}) AS int)").alias("low"), F.expr(f"cast((n - alone - at) * {num + den} div {num} - n AS int)").alias("high"))
+    return cut(rows.where("high >= low"))
+
+
+def _apart(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of the sets (sh, grams, r) of different r that may be alike, all that are."""
+    filed = _filed(sets)
+    # The root that most holders of a shingle have: its classes don't ask, they are met.
+    roots = filed.groupBy("g", "r").agg(F.count("*").alias("many")).groupBy("g").agg(F.max(F.struct("many", "r")).alias("top"), F.count("*").alias("roots"))
+    filed = cut(filed.join(roots.where("roots > 1").select("g", F.col("top.r").alias("top")), "g"))
+    step = lambda n: f"cast(floor(ln({n}) / ln({STEP})) AS int)"
+    asked = filed.where("r <> top").select("g", F.col("sh").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"), F.col("low").alias("xlow"), F.col("high").alias("xhigh"), F.explode(F.expr(f"sequence({step('low')}, {step('high')})")).alias("step"))
+    met = asked.join(filed.withColumn("step", F.expr(step("n"))), ["g", "step"]).where("r <> xr AND n BETWEEN xlow AND xhigh AND xn BETWEEN low AND high AND (r = top OR x < sh)")
+    return met.select(F.least("x", "sh").alias("a"), F.greatest("x", "sh").alias("b")).distinct()
+
+
 def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(a, b): fingerprints of ``prints`` (from sketches) that belong together, as texts
     with them are alike."""
-    classes = cut(prints.groupBy("sh").agg(F.min("fp").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "th")).alias("one")))
+    classes = cut(prints.groupBy("sh").agg(F.min("fp").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "th")).alias("one")))
     filed = classes.select("sh", "n", F.explode("keys").alias("key"))
     many = filed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     filed = cut(filed.join(many, "key"))
@@ -160,17 +172,15 @@ def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "do
     near = lambda x, y: f"least({x}, {y}) * {den} >= greatest({x}, {y}) * {num}"
     filed = cut(filed.drop("many").join(heads, "key"))
     first = cut(filed.where(f"sh <> head AND {near('n', 'hn')}").select(F.least("sh", "head").alias("a"), F.greatest("sh", "head").alias("b")).distinct())
-    alike = _verified(docs, classes, first, text, key)
-    # What the first round left apart from its key's head meets the others of the key.
+    sets = _sets(docs, classes.join(filed.select("sh").distinct(), "sh", "left_semi"), text, key)
+    alike = _verified(sets, first)
+    # What the first round left apart from its key's head meets the others of such keys.
     roots = components(alike)
     filed = filed.join(roots.withColumnsRenamed({"node": "sh", "root": "r"}), "sh", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("hr")), "head", "left")
-    filed = cut(filed.select("key", "sh", "n", F.coalesce("r", "sh").alias("r"), F.coalesce("hr", "head").alias("hr")).where("key IS NOT NULL"))
-    left = filed.join(filed.where("r <> hr").select("key").distinct(), "key", "left_semi")
-    left = cut(left.join(classes.select("sh", "bits"), "sh"))
-    apart = left.where("r <> hr").select("key", F.col("sh").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"), F.col("bits").alias("xbits"))
-    met = apart.join(left, "key").where(f"r <> xr AND {near('n', 'xn')} AND (r = hr OR x < sh) AND {_differing('bits', 'xbits')} < {FAR}")
-    rest = met.select(F.least("x", "sh").alias("a"), F.greatest("x", "sh").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    alike = alike.union(_verified(docs, classes, cut(rest), text, key))
+    filed = cut(filed.select("key", "sh", F.coalesce("r", "sh").alias("r"), F.coalesce("hr", "head").alias("hr")))
+    left = filed.join(filed.where("r <> hr").select("key").distinct(), "key", "left_semi").select("sh", "r").distinct()
+    rest = _apart(cut(sets.join(left, "sh"))).join(first, ["a", "b"], "left_anti")
+    alike = alike.union(_verified(sets, cut(rest)))
     f = classes.select("sh", "f")
     named = alike.join(f.withColumnsRenamed({"sh": "a", "f": "fa"}), "a").join(f.withColumnsRenamed({"sh": "b", "f": "fb"}), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     # Equal sets may have several fingerprints, as these count repeated shingles.

@@ -218,19 +218,43 @@ def test_pipeline_drops_alike_texts(spark):
     assert corpus_pipeline.drop_copies(spark, docs.where("false"), "").count() == 0
 
 
-def test_differing_min_hashes(spark):
-    """Bits tell how many min-hashes differ; sets with a similarity of 0.8 stay well below the bound."""
+@pytest.mark.parametrize("seed", range(3))
+def test_sets_left_apart_meet_all_that_are_alike(spark, seed):
+    """Pairs of sets of different roots: all that are alike, and few of a large group that aren't."""
     from folioscope.llm import resemblance as r
 
-    rng, rows, want = np.random.default_rng(3), [], []
-    for k, n in enumerate((20, 50, 200, 1000) * 10):
-        u = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        x, y = (r.least(h) for h in (u[n // 10 :], u[: n - n // 10]))
-        want.append((k, int(((x >> np.uint64(20) & np.uint64(15)) != (y >> np.uint64(20) & np.uint64(15))).sum())))
-        rows.append((k, r.planes(x).tolist(), r.planes(y).tolist()))
-    got = spark.createDataFrame(rows, "k int, x array<long>, y array<long>").selectExpr("k", f"{r._differing('x', 'y')} AS n").collect()
-    assert sorted((g.k, g.n) for g in got) == want and max(n for _, n in want) < r.FAR
-    assert not len(r.planes(r.least(np.zeros(0, np.uint64))))
+    rng = np.random.default_rng(seed)
+    new = lambda n: rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+    sets = []
+    for n in (1, 2, 5, 56, 56, 300):
+        base = new(n)
+        for k in range(60):
+            cut = rng.integers(0, max(1, n // 3) + 1)  # shingles that it lacks, and others that it has instead
+            have = np.r_[rng.permutation(base)[cut:], new(rng.integers(0, cut + 1))]
+            sets.append(np.unique(have if len(have) else base))
+            if k % 7 == 0:  # close to the one before
+                sets.append(np.unique(np.r_[sets[-1][len(sets[-1]) // 10 :], new(len(sets[-1]) // 12)]))
+    roots = [int(x) for x in rng.choice([0, 0, 0, 1, 2, 3], len(sets))]
+    rows = [(i, s.tolist(), roots[i]) for i, s in enumerate(sets)]
+    found = r._apart(spark.createDataFrame(rows, "sh long, grams array<long>, r long").repartition(3))
+    pairs = sorted((p.a, p.b) for p in found.collect())
+    holds = [set(s.tolist()) for s in sets]
+    near = lambda i, j: 5 * len(holds[i] & holds[j]) >= 4 * len(holds[i] | holds[j])
+    differ = [(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j]]
+    want = {p for p in differ if near(*p)}
+    assert want and want <= set(pairs) <= set(differ) and len(pairs) == len(set(pairs))
+    assert sorted((p.a, p.b) for p in r._verified(spark.createDataFrame(rows, "sh long, grams array<long>, r long"), found).collect()) == sorted(want)
+
+
+def test_copies_too_far_from_their_text_meet_nobody(spark):
+    """Of a group whose members each differ from one text by shingles of their own, none asks."""
+    from folioscope.llm import resemblance as r
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 90, dtype=np.int64)
+    rows = [(i, np.unique(np.r_[base[12:], rng.integers(0, 2**62, 12, dtype=np.int64)]).tolist(), i) for i in range(300)]
+    assert r._apart(spark.createDataFrame(rows, "sh long, grams array<long>, r long")).count() == 0
+    assert r._apart(spark.createDataFrame([], "sh long, grams array<long>, r long")).count() == 0
 
 
 def test_a_long_path_is_one_component(spark):
