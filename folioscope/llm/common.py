@@ -74,6 +74,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to any more, upon which Spark removes the
+    shuffle files of lineages that were cut; by itself it may not get to that for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder for a table or a set of files."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, release
 from .simhash import _UPPER, _WORDS, components, fingerprint
 
 SHINGLE = 5
@@ -140,7 +140,9 @@ def _filed(sets: DataFrame) -> DataFrame:
     early = F.expr(f"slice(shared, 1, greatest(0, n - cast(ceil(n * {num} / {den}) AS int) + 1 - alone))")
     rows = rows.select("sh", "r", "n", "alone", F.posexplode(early).alias("at", "s"))
     rows = rows.select("sh", "r", "n", F.col("s.g").alias("g"), F.expr(f"cast(ceil(n * {num} / {den}) AS int)").alias("low"), F.expr(f"cast((n - alone - at) * {num + den} div {num} - n AS int)").alias("high"))
-    return cut(rows.where("high >= low"))
+    rows = cut(rows.where("high >= low"))
+    release(rows.sparkSession)
+    return rows
 
 
 def _apart(sets: DataFrame) -> DataFrame:
@@ -172,15 +174,20 @@ def links(docs: DataFrame, prints: DataFrame, text: str = "text", key: str = "do
     near = lambda x, y: f"least({x}, {y}) * {den} >= greatest({x}, {y}) * {num}"
     filed = cut(filed.drop("many").join(heads, "key"))
     first = cut(filed.where(f"sh <> head AND {near('n', 'hn')}").select(F.least("sh", "head").alias("a"), F.greatest("sh", "head").alias("b")).distinct())
+    release(docs.sparkSession)
     sets = _sets(docs, classes.join(filed.select("sh").distinct(), "sh", "left_semi"), text, key)
     alike = _verified(sets, first)
+    release(docs.sparkSession)
     # What the first round left apart from its key's head meets the others of such keys.
     roots = components(alike)
     filed = filed.join(roots.withColumnsRenamed({"node": "sh", "root": "r"}), "sh", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("hr")), "head", "left")
     filed = cut(filed.select("key", "sh", F.coalesce("r", "sh").alias("r"), F.coalesce("hr", "head").alias("hr")))
+    release(docs.sparkSession)
     left = filed.join(filed.where("r <> hr").select("key").distinct(), "key", "left_semi").select("sh", "r").distinct()
     rest = _apart(cut(sets.join(left, "sh"))).join(first, ["a", "b"], "left_anti")
-    alike = alike.union(_verified(sets, cut(rest)))
+    rest = cut(rest)
+    release(docs.sparkSession)
+    alike = alike.union(_verified(sets, rest))
     f = classes.select("sh", "f")
     named = alike.join(f.withColumnsRenamed({"sh": "a", "f": "fa"}), "a").join(f.withColumnsRenamed({"sh": "b", "f": "fb"}), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     # Equal sets may have several fingerprints, as these count repeated shingles.

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Names, cut, map_batches
+from .common import WORD, Names, cut, map_batches, release
 
 _WORDS = re.compile(WORD)
 #: Fixed value: the generator polynomial of the Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -209,7 +209,8 @@ def near_copies(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     near = links(classes)
     if alike:
-        near = near.union(resemblance.links(docs, prints, text, key))
+        near = cut(near.union(resemblance.links(docs, prints, text, key)))
+        release(docs.sparkSession)
     found = components(near)
     # Fingerprints without a link are components of their own.
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
