@@ -75,6 +75,24 @@ def test_ann_splits_a_hot_list(spark):
     assert len(a) == len(b) and sum(u == v for u, v in zip(a, b, strict=True)) / len(a) > 0.9
 
 
+def test_ann_finds_neighbours_of_queries_unlike_the_rows(spark):
+    """Rows in tight clusters, queries from all over: what the rows tell of themselves is too little."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 32))[rng.integers(150, size=6000)] + 0.05 * rng.normal(size=(6000, 32))
+    x[::20] = rng.normal(size=(300, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df.repartition(4), k=20, every=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_ann_keeps_the_smallest_ids_of_equal_vectors(spark):
     """A third of the rows equal, one id repeated: ties go to the smaller ids."""
     x, _ = vectors(spark, n=3000, ties=False)
